@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -97,17 +97,42 @@ def bucket_of(signature: np.ndarray, bits: int) -> np.ndarray:
     return (mix(signature.view(U64)) >> U64(64 - bits)).astype(np.int64)
 
 
-def count_sketch(rows: DataFrame, bucket: str, bits: int, weight: str | None = None) -> np.ndarray:
-    """Counts of rows per bucket over all rows, as an array of 2**bits numbers. Its size doesn't depend on the data: at most
-    2**bits rows reach the driver, after partial aggregation in every task."""
-    total = F.sum(weight) if weight else F.count(F.lit(1))
-    got = rows.groupBy(bucket).agg(total.alias("n")).toPandas()
+def count_sketch(df: DataFrame, signatures: Callable[[pd.DataFrame], np.ndarray], bits: int = 20) -> np.ndarray:
+    """Counts per bucket of the signatures of all rows, as an array of 2**bits numbers. Each task counts its own rows in numpy; at
+    most 2**bits sums reach the driver, whatever the size of the data."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << bits, np.int64)
+        for f in batches(frames):
+            total += np.bincount(bucket_of(signatures(f), bits), minlength=1 << bits)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 100_000):
+            yield pd.DataFrame({"b": at[i : i + 100_000], "n": total[at[i : i + 100_000]]})
+
+    got = df.mapInPandas(count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << bits, np.int64)
     if len(got):
-        out[got[bucket].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+        out[got["b"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return out
 
 
+class Estimate:
+    """Estimated counts of signatures from a sketch: the bucket's count less the mean of the others, at least 1."""
+
+    def __init__(self, spark, sketch: np.ndarray) -> None:
+        self.bits = len(sketch).bit_length() - 1
+        self.noise = float(sketch.mean())
+        self.shared = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
+
+    def __call__(self, signature: np.ndarray) -> np.ndarray:
+        return np.maximum(self.shared.value[bucket_of(signature, self.bits)] - self.noise, 1.0)
+
+
+def salts(estimate: np.ndarray, most: int = 4096) -> np.ndarray:
+    """Into how many parts the rows of a signature are spread, so that no part is expected to hold more than `most`."""
+    return np.ceil(estimate / most).astype(np.int64)
+
+
 def bit_filter(rows: DataFrame, bucket: str, bits: int) -> np.ndarray:
     """One bit for each bucket that occurs in rows, as 2**bits / 64 words: a filter without false negatives and of fixed
     size (2**bits / 8 bytes), made from 64-bit words combined by OR on the executors."""

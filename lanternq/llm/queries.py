@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternq.llm import encoding, packing, quantiles, sampling
+from lanternq.llm import encoding, neardup, overlap, packing, quantiles, sampling, spans, texts
 
 QS = (0.5, 0.9, 0.95, 0.99)
 BY = ("router", "memory", "model_used")
@@ -15,6 +15,49 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _near_duplicates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    t = _t(spark, sf, "tickets").select("ticket_id", "document", "received_at")
+    return neardup.near_duplicates(t, "ticket_id", "document", "received_at", similarity=0.5, min_words=30)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return texts.expand_links(*_near_duplicates(spark, sf))
+
+
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each ticket of at least 30 words: its group and the number of classes of other texts it is linked to."""
+    return neardup.components(*_near_duplicates(spark, sf)).withColumnRenamed("k0", "ticket_id")
+
+
+def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    t = _t(spark, sf, "tickets").select("ticket_id", "document", "split_name", "received_at")
+    return overlap.expand(*overlap.contained_pairs(t, "ticket_id", "document", "split_name", order="received_at"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    pair = _overlaps(spark, sf)
+    return pair.select(F.least("other_key", "train_key").alias("id_a"), F.greatest("other_key", "train_key").alias("id_b"))
+
+
+def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Per split and source: tickets, those that lie in a train ticket, and pairs."""
+    t = _t(spark, sf, "tickets").filter("ticket_id is not null and split_name <> 'train'")
+    t = t.groupBy("ticket_id").agg(F.min_by(F.struct("split_name", "source"), "received_at").alias("s")).select("ticket_id", "s.*")
+    n = _overlaps(spark, sf).groupBy(F.col("other_key").alias("ticket_id")).agg(F.count(F.lit(1)).alias("pairs"))
+    return t.join(n, "ticket_id", "left").groupBy("split_name", "source").agg(F.count(F.lit(1)).alias("tickets"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    links, _, members = spans.shared_spans(_t(spark, sf, "documents").select("doc_id", "text"))
+    return spans.expand(links, members).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p8_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    _, places, members = spans.shared_spans(docs)
+    return spans.coverage(docs, "doc_id", places, members)
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode_corpus(_t(spark, sf, "documents").select("doc_id", "text"))
 
@@ -66,7 +109,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_percentiles, p3_merged_days, p4_found, p4_report, p4_sample, p6_ids, p7_containers, p7_fill)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_counts, p3_percentiles, p3_merged_days, p4_found, p4_report, p4_sample, p6_ids, p7_containers, p7_fill, p8_found, p8_coverage)}
 
 
 _FIRST = """
