@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternq.llm import encoding, neardup, overlap, packing, quantiles, sampling, spans, texts
+from lanternq.llm import encoding, neardup, overlap, packing, pii, quantiles, sampling, spans, texts
 
 QS = (0.5, 0.9, 0.95, 0.99)
 BY = ("router", "memory", "model_used")
@@ -58,6 +58,25 @@ def p8_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return spans.coverage(docs, "doc_id", places, members)
 
 
+def _private_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Both text columns as (field_name, row_key, text)."""
+    t = _t(spark, sf, "tickets").select(F.lit("document").alias("field_name"), F.col("ticket_id").alias("row_key"), F.col("document").alias("text"))
+    r = _t(spark, sf, "results").select(F.lit("memory_context_used").alias("field_name"), F.col("result_id").alias("row_key"), F.col("memory_context_used").alias("text"))
+    return t.unionByName(r)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_pii(_private_texts(spark, sf), ["field_name", "row_key"], "text", _t(spark, sf, "name_list"))
+
+
+def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts of tickets and results with typed placeholders, each row_key once as first received or sent."""
+    t = _t(spark, sf, "tickets").filter("ticket_id is not null").groupBy(F.col("ticket_id").alias("row_key")).agg(F.min_by("document", "received_at").alias("text"))
+    r = _t(spark, sf, "results").filter("result_id is not null").groupBy(F.col("result_id").alias("row_key")).agg(F.min_by("memory_context_used", F.struct("chunk_no", "logged_at")).alias("text"))
+    both = t.select(F.lit("document").alias("field_name"), "row_key", "text").unionByName(r.select(F.lit("memory_context_used").alias("field_name"), "row_key", "text"))
+    return pii.redact_column(both, ["field_name", "row_key"], "text", _t(spark, sf, "name_list"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode_corpus(_t(spark, sf, "documents").select("doc_id", "text"))
 
@@ -109,7 +128,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_counts, p3_percentiles, p3_merged_days, p4_found, p4_report, p4_sample, p6_ids, p7_containers, p7_fill, p8_found, p8_coverage)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_counts, p3_percentiles, p3_merged_days, p4_found, p4_report, p4_sample, p5_found, p5_redacted, p6_ids, p7_containers, p7_fill, p8_found, p8_coverage)}
 
 
 _FIRST = """
