@@ -124,6 +124,11 @@ Hello team, Dear help desk, Hi, Thanks a lot. Thank you! BR
 Earlier message below. Sent from my handset. FW: RE: second request
 Dear help desk, Event {n3} from source {cap} appears after lunch next to {code}.
 Hello team, Tray {n3} of {host} jams at random and the panel shows {code}.
+Regards, {team}
+Kind regards, {team}
+Many thanks, {team}
+{code} comes back after {n3} attempts.
+serial SN{hex8}. {code} is shown.
 Hi, by submitting this form you confirm that the device is company property and may be wiped by the support crew at any time.
 Sent through the self service portal. Do not change the subject line.
 Meter reading {n10}, coil {n3} {n3} {n3}, checked {date}.
@@ -186,6 +191,9 @@ class Values:
     def digits(self, n: int) -> str:
         return "".join(str(d) for d in self.rng.integers(0, 10, n))
 
+    def hex(self, n: int) -> str:
+        return "".join(self.pick("0123456789ABCDEF") for _ in range(n))
+
     def stem(self, most: int = 2) -> str:
         return "".join(self.pick(ONSETS) + self.pick(VOWELS) for _ in range(int(self.rng.integers(1, most + 1))))
 
@@ -259,9 +267,9 @@ class Values:
         made = {
             "time": time, "asset": asset, "place": place, "product": product, "ref": ref, "version": version, "cap": cap, "word": cap.lower(), "date8": date8,
             "date": self.pick([day, day, date8]), "role": self.pick(ROLES), "team": self.pick(TEAMS), "thing": self.pick(THINGS), "postcode": n(5),
-            "room": f"{self.pick(['room', 'hall', 'bay', 'block'])} {self.pick('ABCDEFG')}{n(3)}", "code": self.pick([f"ERR_{cap.upper()}_{n(4)}", f'"{cap} fault {n(5)}"', f"code E{n(5)}", "0x8" + n(7)]),
+            "room": f"{self.pick(['room', 'hall', 'bay', 'block'])} {self.pick('ABCDEFG')}{n(3)}", "code": self.pick([f"ERR_{cap.upper()}_{n(4)}", f'"{cap} fault {n(5)}"', f"code E{n(5)}", "0x8" + self.hex(7), "0x8" + self.hex(7)]),
             "host": f"{self.pick(['srv', 'app', 'fs', 'prt'])}-{place.lower()}-{n(3)}", "file": f"{cap.lower()}_{n(4)}.{self.pick(['pdf', 'log', 'csv', 'xlsx', 'docx'])}",
-            "ip": f"203.0.113.{n(2)}", "hex8": n(4) + "A1F" + n(1), "category": self.pick(["Hardware", "Access", "HR Support", "Purchase", "Storage"]),
+            "ip": f"203.0.113.{n(2)}", "hex8": self.hex(8), "category": self.pick(["Hardware", "Access", "HR Support", "Purchase", "Storage"]),
             "ssnlike": f"{n(3)}-{self.digits(2)}-{self.digits(4)}", "phonelike": f"{n(3)}-{n(3)}-{n(4)}",
         }
         return made.get(slot) or n(int(slot[1:]))
