@@ -109,10 +109,22 @@ def count_sketch(df: DataFrame, signatures: Callable[[pd.DataFrame], np.ndarray]
         for i in range(0, len(at), 100_000):
             yield pd.DataFrame({"b": at[i : i + 100_000], "n": total[at[i : i + 100_000]]})
 
-    got = df.mapInPandas(count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    return packed(df.mapInPandas(count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")), bits)
+
+
+def packed(sums: DataFrame, bits: int, block_bits: int = 12) -> np.ndarray:
+    """The numbers n at the places b as an array of 2**bits; they reach the driver as a few blocks of bytes, not as rows."""
+
+    def pack(f: pd.DataFrame) -> pd.DataFrame:
+        block = int(f["b"].iloc[0]) >> block_bits
+        part = np.zeros(1 << min(block_bits, bits), np.int64)
+        part[f["b"].to_numpy(np.int64) - (block << block_bits)] = f["n"].to_numpy(np.int64)
+        return pd.DataFrame({"block": [block], "data": [part.tobytes()]})
+
     out = np.zeros(1 << bits, np.int64)
-    if len(got):
-        out[got["b"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    for r in sums.groupBy(F.shiftright("b", block_bits).alias("k")).applyInPandas(pack, "block bigint, data binary").collect():
+        part = np.frombuffer(bytes(r["data"]), np.int64)
+        out[(r["block"] << block_bits) : (r["block"] << block_bits) + len(part)] = part
     return out
 
 
@@ -136,16 +148,8 @@ def salts(estimate: np.ndarray, most: int = 4096) -> np.ndarray:
 def bit_filter(rows: DataFrame, bucket: str, bits: int) -> np.ndarray:
     """One bit for each bucket that occurs in rows, as 2**bits / 64 words: a filter without false negatives and of fixed
     size (2**bits / 8 bytes), made from 64-bit words combined by OR on the executors."""
-    got = (
-        rows.select(F.shiftright(bucket, 6).alias("w"), F.expr(f"shiftleft(1L, cast({bucket} & 63 as int))").alias("m"))
-        .groupBy("w")
-        .agg(F.bit_or("m").alias("m"))
-        .toPandas()
-    )
-    out = np.zeros(1 << (bits - 6), np.int64)
-    if len(got):
-        out[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64)
-    return out
+    words = rows.select(F.shiftright(bucket, 6).alias("b"), F.expr(f"shiftleft(1L, cast({bucket} & 63 as int))").alias("m")).groupBy("b").agg(F.bit_or("m").alias("n"))
+    return packed(words, bits - 6)
 
 
 def in_filter(words: np.ndarray, bucket: np.ndarray) -> np.ndarray:
