@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternq.llm import hashing as H
@@ -102,8 +102,27 @@ def allocate(cost_both: np.ndarray, cost_any: np.ndarray, need: int) -> np.ndarr
     return out
 
 
-def candidate_pairs(reps: DataFrame, dims: int, radius: int) -> DataFrame:
-    """(x, y), x < y: pairs of reps (rep, syms) that agree in a probed partition; holds all pairs within the Hamming radius."""
+def nibbles(symbols: np.ndarray) -> np.ndarray:
+    """(texts x longs): four bits of each symbol, sixteen symbols to a number. Equal symbols have equal bits."""
+    n, dims = symbols.shape
+    low = np.zeros((n, -(-dims // 16) * 16), np.uint64)
+    low[:, :dims] = symbols & np.uint32(15)
+    return np.bitwise_or.reduce(low.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
+
+
+def differing(a: list[str], b: list[str]) -> Column:
+    """How many nibbles differ: at most the Hamming distance of the symbols."""
+    out = F.lit(0)
+    for p, q in zip(a, b):
+        x = F.col(p).bitwiseXOR(F.col(q))
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        out = out + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    return out
+
+
+def candidate_pairs(reps: DataFrame, dims: int, radius: int, slack: int = 2) -> DataFrame:
+    """(x, y), x < y: pairs of reps (rep, syms) that agree in a probed partition and whose symbols differ, as far as four bits of each
+    tell, in at most radius + slack dimensions; holds all pairs within the Hamming radius."""
     spark = reps.sparkSession
     rows = reps.select("rep", "syms")
     symbols = lambda f: np.stack(f["syms"].to_numpy()).astype(np.int32).view(np.uint32)
@@ -138,9 +157,12 @@ def candidate_pairs(reps: DataFrame, dims: int, radius: int) -> DataFrame:
             parts = H.salts(est[use])
             who = np.repeat(f["rep"].to_numpy(np.int64), use.sum(1))
             salt = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            yield pd.DataFrame({"sig": np.repeat(sig[use].view(np.int64), parts), "salt": salt.astype(np.int32), "x": np.repeat(who, parts)})
+            own = np.repeat(np.repeat(nibbles(symbols(f)), use.sum(1), axis=0), parts, axis=0)
+            yield pd.DataFrame({"sig": np.repeat(sig[use].view(np.int64), parts), "salt": salt.astype(np.int32), "x": np.repeat(who, parts), **dict(zip(xs, own.T))})
 
-    probes = materialize(rows.mapInPandas(probe, "sig bigint, salt int, x bigint"), "probes")
+    longs = -(-dims // 16)
+    xs, ys = [f"cx{i}" for i in range(longs)], [f"cy{i}" for i in range(longs)]
+    probes = materialize(rows.mapInPandas(probe, f"sig bigint, salt int, x bigint, {', '.join(f'{c} bigint' for c in xs)}"), "probes")
     bits = 24
     seen = probe_filter(probes, bits)
 
@@ -152,10 +174,12 @@ def candidate_pairs(reps: DataFrame, dims: int, radius: int) -> DataFrame:
             ok = H.in_filter(seen.value, H.bucket_of(sig, bits))
             sig, est, who = sig[ok], est[ok], who[ok]
             salt = (H.mix(who.view(H.U64)) % H.salts(est).astype(H.U64)).astype(np.int32)
-            yield pd.DataFrame({"sig": sig.view(np.int64), "salt": salt, "y": who})
+            own = np.repeat(nibbles(symbols(f)), 3 * m, axis=0)[ok]
+            yield pd.DataFrame({"sig": sig.view(np.int64), "salt": salt, "y": who, **dict(zip(ys, own.T))})
 
-    indexed = rows.mapInPandas(index, "sig bigint, salt int, y bigint")
-    return probes.join(indexed, ["sig", "salt"]).filter("x < y").select("x", "y").distinct()
+    indexed = rows.mapInPandas(index, f"sig bigint, salt int, y bigint, {', '.join(f'{c} bigint' for c in ys)}")
+    near = differing(xs, ys) <= radius + slack
+    return probes.join(indexed, ["sig", "salt"]).filter((F.col("x") < F.col("y")) & near).select("x", "y").distinct()
 
 
 def probe_filter(probes: DataFrame, bits: int):
