@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from lanternq.plans import analytics_queries, registry, retrieval_queries, text_queries  # noqa: F401
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)

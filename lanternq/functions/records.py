@@ -95,8 +95,8 @@ def overlap_share(a: Column, b: Column) -> Column:
 
 def best_support(answer: Column, snippets: Column) -> Column:
     """The best overlap_share of an answer with an array of snippets: lower-cased white-space tokens; 0 without snippets."""
-    a = X.tokens(F.lower(answer))
-    return F.coalesce(F.array_max(F.transform(snippets, lambda s: overlap_share(a, X.tokens(F.lower(s))))), F.lit(0.0))
+    best = lambda a: F.array_max(F.transform(snippets, lambda s: overlap_share(a, X.tokens(F.lower(s)))))
+    return F.coalesce(X.let(X.tokens(F.lower(answer)), best), F.lit(0.0))
 
 
 def top_mean(scores: Column, k: int = 3) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once per row, however often body uses it, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
 
@@ -63,18 +68,21 @@ def contains_any(c: Column, words_: Sequence[str]) -> Column:
 
 def first_group(c: Column, groups: Sequence[tuple[str, Sequence[str]]]) -> Column:
     """The name of the first group with a word in the text, else null."""
-    return F.coalesce(*(F.when(contains_any(c, ws), F.lit(name)) for name, ws in groups))
+    return let(c, lambda t: F.coalesce(*(F.when(contains_any(t, ws), F.lit(name)) for name, ws in groups)))
 
 
 def canonical_label(c: Column | str) -> Column:
     """One of the labels: exact synonym, exact label, else the first synonym in order that the text contains; null if none."""
-    norm = squeeze(c)
     pairs: dict[str, str] = dict(V.SYNONYMS)
     for label in V.LABELS:
         pairs.setdefault(label.lower(), label)
     table = F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
-    inside = F.coalesce(*(F.when(F.contains(norm, F.lit(k)), F.lit(v)) for k, v in V.SYNONYMS))
-    return F.when(norm != "", F.coalesce(F.try_element_at(table, norm), inside))
+
+    def find(norm: Column) -> Column:
+        inside = F.coalesce(*(F.when(F.contains(norm, F.lit(k)), F.lit(v)) for k, v in V.SYNONYMS))
+        return F.when(norm != "", F.coalesce(F.try_element_at(table, norm), inside))
+
+    return let(squeeze(c), find)
 
 
 def strict_label(c: Column | str) -> Column:

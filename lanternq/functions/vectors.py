@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lanternq.functions.text import col
+from lanternq.functions.text import col, let
 
 
 def doubles(c: Column | str) -> Column:
@@ -33,22 +33,18 @@ def cosine(a: Column | str, b: Column | str, epsilon: float = 1e-9) -> Column:
 
 
 def unit(a: Column | str, epsilon: float = 1e-9) -> Column:
-    n = norm(a) + epsilon
-    return F.transform(col(a), lambda x: x / n)
+    return let(norm(a) + epsilon, lambda n: F.transform(col(a), lambda x: x / n))
 
 
 def softmax(a: Column | str) -> Column:
-    top = F.array_max(col(a))
-    e = F.transform(col(a), lambda x: F.exp(x - top))
-    s = total(e)
-    return F.transform(e, lambda x: x / s)
+    shifted = lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    return let(let(col(a), shifted), lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def normalized(a: Column | str) -> Column:
     """Shares of a score array: below zero counts as 0, without mass all are equal."""
-    p = F.transform(col(a), lambda x: F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0)))
-    s = total(p)
-    return F.transform(p, lambda x: F.when(s > 0, x / s).otherwise(F.lit(1.0) / F.greatest(F.size(p), F.lit(1))))
+    positive = F.transform(col(a), lambda x: F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0)))
+    return let(positive, lambda p: let(total(p), lambda s: F.transform(p, lambda x: F.when(s > 0, x / s).otherwise(F.lit(1.0) / F.greatest(F.size(p), F.lit(1))))))
 
 
 def letter_vector(c: Column | str, size: int = 16) -> Column:
@@ -57,9 +53,8 @@ def letter_vector(c: Column | str, size: int = 16) -> Column:
         F.transform(F.split(F.lower(F.coalesce(col(c), F.lit(""))), ""), lambda x, i: F.struct(x.alias("c"), i.alias("i"))), lambda s: s["c"].rlike(r"^\p{L}$")
     )
     slots = F.transform(letters, lambda s: F.pmod(s["i"] + F.ascii(s["c"]), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    n = norm(counts)
-    return F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    count = lambda ss: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(ss, lambda s: s == k)).cast("double"))
+    return let(let(slots, count), lambda c_: let(norm(c_), lambda n: F.transform(c_, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
 
 
 def affine(weights: Sequence[Sequence[float]], bias: Sequence[float], x: Column | str, relu: bool = False) -> Column:

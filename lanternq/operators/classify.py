@@ -35,17 +35,19 @@ def hits(text: Column, words: Sequence[str]) -> Column:
 
 def prior_hits(text: Column | str, labels: Sequence[str] = W.LABELS, weighted: bool = True) -> Column:
     low = F.lower(F.coalesce(X.col(text), F.lit("")))
-    return F.array(*((hits(low, W.PRIOR_KEYWORDS.get(k, ())) * F.lit(W.PRIOR_WEIGHTS.get(k, 1.0) if weighted else 1.0)).cast("double") for k in labels))
+    return X.let(low, lambda t: F.array(*((hits(t, W.PRIOR_KEYWORDS.get(k, ())) * F.lit(W.PRIOR_WEIGHTS.get(k, 1.0) if weighted else 1.0)).cast("double") for k in labels)))
 
 
 def with_prior(text: Column | str, probs: Column, alpha: float = 0.75, beta: float = 0.25, labels: Sequence[str] = W.LABELS) -> Column:
     """Probabilities (array in label order) blended with the keyword prior; unchanged for texts without keywords."""
-    h = prior_hits(text, labels)
     damp = F.array(*(F.lit(0.5 if k == W.FALLBACK else 1.0) for k in labels))
-    raw = F.zip_with(h, damp, lambda x, d: (x + 1e-6) * d)
-    mass = V.total(raw)
-    blended = F.zip_with(probs, raw, lambda p, r: F.greatest(alpha * p + beta * r / mass, F.lit(0.0)))
-    return F.when(V.total(h) > 0, V.normalized(blended)).otherwise(probs)
+
+    def blend(h: Column, p0: Column) -> Column:
+        raw = F.zip_with(h, damp, lambda x, d: (x + 1e-6) * d)
+        mixed = X.let(raw, lambda r0: X.let(V.total(r0), lambda mass: F.zip_with(p0, r0, lambda p, r: F.greatest(alpha * p + beta * r / mass, F.lit(0.0)))))
+        return F.when(V.total(h) > 0, V.normalized(mixed)).otherwise(p0)
+
+    return X.let(prior_hits(text, labels), lambda h: X.let(probs, lambda p0: blend(h, p0)))
 
 
 def uniform(labels: Sequence[str] = W.LABELS) -> Column:
@@ -54,7 +56,7 @@ def uniform(labels: Sequence[str] = W.LABELS) -> Column:
 
 def best_label(probs: Column, labels: Sequence[str] = W.LABELS) -> Column:
     """The label of the largest value, the first one on ties."""
-    return F.element_at(F.array(*(F.lit(k) for k in labels)), F.array_position(probs, F.array_max(probs)).cast("int"))
+    return X.let(probs, lambda p: F.element_at(F.array(*(F.lit(k) for k in labels)), F.array_position(p, F.array_max(p)).cast("int")))
 
 
 @register("prior")
@@ -66,20 +68,25 @@ def prior(text: Column | str) -> Column:
 @register("heuristic")
 def heuristic(text: Column | str, labels: Sequence[str] = W.LABELS) -> Column:
     """Keyword scores as shares, blended with the prior."""
-    low = F.lower(F.coalesce(X.col(text), F.lit("")))
-    scores = []
-    for k in labels:
-        s = F.lit(0.05) + hits(low, W.SCORE_KEYWORDS.get(k, ())) * F.lit(1.8 if k in W.PRIOR_WEIGHTS else 1.5)
-        scores.append(s + F.when(F.size(X.tokens(low)) < 5, F.lit(0.2)).otherwise(F.lit(0.0)) if k == W.FALLBACK else s)
-    return with_prior(text, V.normalized(F.array(*scores)))
+    def scores(low: Column) -> Column:
+        out = []
+        for k in labels:
+            s = F.lit(0.05) + hits(low, W.SCORE_KEYWORDS.get(k, ())) * F.lit(1.8 if k in W.PRIOR_WEIGHTS else 1.5)
+            out.append(s + F.when(F.size(X.tokens(low)) < 5, F.lit(0.2)).otherwise(F.lit(0.0)) if k == W.FALLBACK else s)
+        return F.array(*out)
+
+    return with_prior(text, V.normalized(X.let(F.lower(F.coalesce(X.col(text), F.lit(""))), scores)))
 
 
 def override_fallback(text: Column | str, label: Column, least: float = 0.65, labels: Sequence[str] = W.LABELS) -> Column:
     """A fallback label gives way to the label that holds at least this share of all keyword hits."""
-    h = prior_hits(text, labels, weighted=False)
-    others = F.transform(h, lambda x, i: F.when(i == labels.index(W.FALLBACK), F.lit(-1.0)).otherwise(x))
-    strong = F.coalesce(F.try_divide(F.array_max(others), V.total(h)) >= least, F.lit(False))
-    return F.when((label == W.FALLBACK) & strong, best_label(others, labels)).otherwise(label)
+
+    def decide(h: Column) -> Column:
+        others = F.transform(h, lambda x, i: F.when(i == labels.index(W.FALLBACK), F.lit(-1.0)).otherwise(x))
+        strong = F.coalesce(F.try_divide(F.array_max(others), V.total(h)) >= least, F.lit(False))
+        return F.when((label == W.FALLBACK) & strong, best_label(others, labels)).otherwise(label)
+
+    return X.let(prior_hits(text, labels, weighted=False), decide)
 
 
 def centroids(df: DataFrame, label: str, vector: str, epsilon: float = 1e-9) -> DataFrame:
@@ -96,7 +103,7 @@ def classify_by_centroid(df: DataFrame, key: str, vector: str, cents: DataFrame,
     label and are broadcast."""
     c = cents.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("cs"))
     d = df.select(F.col(key), V.doubles(vector).alias("v")).join(F.broadcast(c))
-    cos = F.transform("cs", lambda s: V.dot(V.unit(F.col("v")), s["centroid"]))
+    cos = X.let(V.unit("v"), lambda u: F.transform("cs", lambda s: V.dot(u, s["centroid"])))
     p = d.select(key, F.transform("cs", lambda s: s["label"]).alias("ls"), V.softmax(cos).alias("p"))
     return p.select(key, F.explode(F.arrays_zip("ls", "p")).alias("z")).select(key, F.col("z.ls").alias("label"), F.round("z.p", digits).alias("p"))
 
