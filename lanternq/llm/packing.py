@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanternq.session import materialize
+
 #: Kinds of containers are a parameter table; a table beyond this is refused, never shortened.
 MAX_KINDS = 1000
 
@@ -55,6 +57,7 @@ def pack(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
     (model string, capacity_tokens int) and each item. part_no counts the parts of a split item from 0."""
     key_type = items.schema[key].dataType.simpleString()
     base = items.select(F.col(key).alias("k0"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("n0"))
+    base = materialize(base, "sizes")  # sizes may be costly to make and are read twice
     groups = max(1, -(-base.count() // group_items))
     caps = containers.select("model", F.col("capacity_tokens").cast("bigint").alias("cap")).filter("cap >= 1").distinct()
     kinds = caps.limit(MAX_KINDS + 1).collect()
