@@ -219,57 +219,57 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def segment_findings(texts: DataFrame, model: Model, text: str = "t0") -> tuple[DataFrame, DataFrame]:
-    """(findings, segments): findings (h, found array<struct<pii_kind, pii_text>>, clean) of those distinct segments that hold
+def segment_findings(texts: DataFrame, model: Model, text: str = "t__") -> tuple[DataFrame, DataFrame]:
+    """(findings, segments): findings (h, found__ array<struct<pii_kind, pii_text>>, clean) of those distinct segments that hold
     something; segments: texts with pos and h for each segment."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
-    cut = texts.filter(F.col(text).isNotNull() & (F.col(text) != "")).select("*", F.posexplode(F.split(text, SEPARATOR)).alias("pos", "seg")).drop(text)
-    cut = cut.withColumn("h", F.xxhash64("seg"))
+    cut = texts.filter(F.col(text).isNotNull() & (F.col(text) != "")).select("*", F.posexplode(F.split(text, SEPARATOR)).alias("pos__", "seg__")).drop(text)
+    cut = cut.withColumn("h__", F.xxhash64("seg__"))
 
     def once(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for f in frames:
-            f = f[~f["h"].isin(seen)].drop_duplicates("h") if seen else f.drop_duplicates("h")
+            f = f[~f["h__"].isin(seen)].drop_duplicates("h__") if seen else f.drop_duplicates("h__")
             if len(seen) < 2_000_000:
-                seen.update(f["h"])
+                seen.update(f["h__"])
             yield f
 
-    distinct = cut.select("h", "seg").mapInPandas(once, "h bigint, seg string").repartition("h").mapInPandas(once, "h bigint, seg string")
+    distinct = cut.select("h__", "seg__").mapInPandas(once, "h__ bigint, seg__ string").repartition("h__").mapInPandas(once, "h__ bigint, seg__ string")
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         done: set[int] = set()
         for f in frames:
-            f = f[~f["h"].isin(done)] if done else f
-            size = f["seg"].str.len().to_numpy()
+            f = f[~f["h__"].isin(done)] if done else f
+            size = f["seg__"].str.len().to_numpy()
             lo = 0
             while lo < len(f):
                 hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), 150_000)))
-                segs = f["seg"].iloc[lo:hi].tolist()
+                segs = f["seg__"].iloc[lo:hi].tolist()
                 got = m.find(segs)
                 hit = [i for i, g in enumerate(got) if g]
                 yield pd.DataFrame({
-                    "h": f["h"].iloc[lo:hi].to_numpy()[hit],
-                    "found": [[{"pii_kind": k, "pii_text": segs[i][a:b]} for a, b, k in got[i]] for i in hit],
-                    "clean": [redact(segs[i], got[i]) for i in hit],
+                    "h__": f["h__"].iloc[lo:hi].to_numpy()[hit],
+                    "found__": [[{"pii_kind": k, "pii_text": segs[i][a:b]} for a, b, k in got[i]] for i in hit],
+                    "clean__": [redact(segs[i], got[i]) for i in hit],
                 })
                 lo = hi
 
-    schema = "h bigint, found array<struct<pii_kind:string,pii_text:string>>, clean string"
+    schema = "h__ bigint, found__ array<struct<pii_kind:string,pii_text:string>>, clean__ string"
     return materialize(distinct.mapInPandas(decode, schema), "findings"), cut
 
 
 def find_pii(texts: DataFrame, keys: list[str], text: str, names: DataFrame | None = None) -> DataFrame:
     """(keys..., pii_kind, pii_text), distinct."""
-    src = texts.select(*keys, F.col(text).alias("t0")).dropna(subset=keys)
+    src = texts.select(*keys, F.col(text).alias("t__")).dropna(subset=keys)
     found, cut = segment_findings(src, train_model(*name_features(names)))
-    return cut.select(*keys, "h").join(found.select("h", "found"), "h").select(*keys, F.explode("found").alias("f")).select(*keys, "f.*").distinct()
+    return cut.select(*keys, "h__").join(found.select("h__", "found__"), "h__").select(*keys, F.explode("found__").alias("f__")).select(*keys, "f__.*").distinct()
 
 
 def redact_column(texts: DataFrame, keys: list[str], text: str, names: DataFrame | None = None) -> DataFrame:
     """(keys..., redacted): the text with typed placeholders such as [EMAIL]; keys must identify a row, null texts stay null."""
-    src = texts.select(*keys, F.col(text).alias("t0")).dropna(subset=keys)
+    src = texts.select(*keys, F.col(text).alias("t__")).dropna(subset=keys)
     found, cut = segment_findings(src, train_model(*name_features(names)))
-    parts = cut.join(found.select("h", "clean"), "h", "left").select(*keys, "pos", F.coalesce("clean", "seg").alias("seg"))
-    joined = parts.groupBy(*keys).agg(F.expr("array_join(transform(array_sort(collect_list(struct(pos, seg))), x -> x.seg), '\n')").alias("redacted"))
-    return src.join(joined, keys, "left").select(*keys, F.coalesce("redacted", "t0").alias("redacted"))
+    parts = cut.join(found.select("h__", "clean__"), "h__", "left").select(*keys, "pos__", F.coalesce("clean__", "seg__").alias("seg__"))
+    joined = parts.groupBy(*keys).agg(F.expr("array_join(transform(array_sort(collect_list(struct(pos__, seg__))), x -> x.seg__), '\n')").alias("redacted"))
+    return src.join(joined, keys, "left").select(*keys, F.coalesce("redacted", "t__").alias("redacted"))

@@ -8,7 +8,7 @@ a summary: histograms of chunks, days or partitions are added up to that of thei
 The p-th percentile is the value of rank ceil(p * n), at least 1, in ascending order.
 
 Defined results: null and NaN values are left out and counted in n_missing; infinities and values below zero are values; -0.0
-counts as 0.0; null group columns are a group of their own; a group without values has null percentiles; an empty table has no rows.
+counts as 0.0; null group columns are a group of their own; group columns that are named like a result are refused; a group without values has null percentiles; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -57,13 +57,27 @@ def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
     return on
 
 
+def _refuse(by: Sequence[str], taken: Sequence[str]) -> None:
+    clash = sorted(set(by) & set(taken))
+    if clash:
+        raise ValueError(f"group columns may not be named {clash}")
+
+
 def histogram(df: DataFrame, by: Sequence[str], value: str, bits: int = 20) -> DataFrame:
     """(by..., digit bigint, n bigint): counts by the leading `bits` bits; digit is null for missing values. With b bits the
     digit of a value other than 0 spans at most 2**(12 - b) of it, b > 12."""
+    _refuse(by, ("digit", "n"))
     key = F.shiftright(ordered_bits(F.col(value).cast("double")), 64 - bits)
     return df.select(*by, key.alias("digit")).groupBy(*by, "digit").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _bounds(digit: str, left: int) -> tuple[Column, Column]:
+    """(low, high) of the doubles whose leading bits are the digit; beyond the infinities lie no numbers."""
+    low = ordered_value(F.shiftleft(digit, left))
+    high = ordered_value(F.shiftleft(digit, left).bitwiseOR(F.lit((1 << left) - 1)))
+    return F.coalesce(low, F.lit(float("-inf"))).alias("low"), F.coalesce(high, F.lit(float("inf"))).alias("high")
+
+
 def merge_histograms(hist: DataFrame, by: Sequence[str]) -> DataFrame:
     """Histograms of parts added up to those of the coarser groups `by`."""
     return hist.groupBy(*by, "digit").agg(F.sum("n").alias("n"))
@@ -78,7 +92,7 @@ def percentiles_from_histogram(hist: DataFrame, by: Sequence[str], qs: Sequence[
         cum.withColumn("q", F.explode(F.array(*(F.lit(float(q)) for q in qs))))
         .withColumn("rank", F.greatest(F.ceil(F.col("q") * F.col("total")), F.lit(1)))
         .filter("upto >= rank and upto - n < rank")
-        .select(*by, "q", ordered_value(F.shiftleft("digit", 64 - bits)).alias("low"), ordered_value(F.shiftleft("digit", 64 - bits).bitwiseOR(F.lit((1 << (64 - bits)) - 1))).alias("high"))
+        .select(*by, "q", *_bounds("digit", 64 - bits))
     )
     grid = sums.withColumn("q", F.explode(F.array(*(F.lit(float(q)) for q in qs))))
     return grid.join(hit, _same(grid, hit, [*by, "q"]), "left").select(*(grid[c] for c in by), grid["q"], F.col("total").alias("n"), "n_missing", "low", "high")
@@ -88,6 +102,7 @@ def radix_percentiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence
     """(by..., q, n, n_missing, value, error_bound): the value of rank ceil(q * n). error_bound is 0 after all rounds
     (digit_bits * rounds = 64), else the width of the last digit."""
     by = list(by)
+    _refuse(by, ("key", "w", "q", "n", "n_missing", "value", "error_bound", "prefix", "digit", "rank", "c", "upto", "wanted_rank"))
     if digit_bits * rounds > 64:
         raise ValueError("at most 64 bits")
     keyed = df.select(*by, ordered_bits(F.col(value).cast("double")).alias("key"))
@@ -114,7 +129,7 @@ def radix_percentiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence
         found = counts.join(side, _same(counts, side, [*by, "prefix"]) & (F.col("upto") >= F.col("wanted_rank")) & (F.col("upto") - F.col("c") < F.col("wanted_rank")))
         targets = materialize(found.select(*(counts[c] for c in by), "q", F.col("digit").alias("prefix"), (F.col("wanted_rank") - (F.col("upto") - F.col("c"))).alias("rank")), "radix-round")
     left = 64 - digit_bits * rounds
-    low = ordered_value(F.shiftleft("prefix", left))
-    high = ordered_value(F.shiftleft("prefix", left).bitwiseOR(F.lit((1 << left) - 1)))
-    got = targets.select(*by, "q", low.alias("value"), (high - low).alias("error_bound") if left else F.lit(0.0).alias("error_bound"))
+    low, high = _bounds("prefix", left)
+    bound = F.when(low == high, F.lit(0.0)).otherwise(high - low) if left else F.lit(0.0)
+    got = targets.select(*by, "q", low.alias("value"), bound.alias("error_bound"))
     return grid.join(got, _same(grid, got, [*by, "q"]), "left").select(*(grid[c] for c in by), grid["q"], "n", "n_missing", "value", "error_bound")

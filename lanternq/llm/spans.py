@@ -80,8 +80,9 @@ def recompress(points: np.ndarray, lengths: np.ndarray, symbol_chars: int) -> tu
     return name, start, length, owner
 
 
-def chains(name: np.ndarray, start: np.ndarray, length: np.ndarray, owner: np.ndarray, chain_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, start, length, owner) of the chain from each symbol on; chains equal to the one before are left out."""
+def chains(name: np.ndarray, start: np.ndarray, length: np.ndarray, owner: np.ndarray, chain_chars: int) -> tuple[np.ndarray, ...]:
+    """(signature, start, length, owner, last, step) of the chain from each symbol on. Chains equal to the one before (a symbol that
+    repeats) are one: last is the start of the last of them and step the length of the symbol, else start and 0."""
     n = len(name)
     stop = np.searchsorted(start + length, start + chain_chars)
     ok = stop < n
@@ -93,7 +94,10 @@ def chains(name: np.ndarray, start: np.ndarray, length: np.ndarray, owner: np.nd
     size = start[j] + length[j] - start[i]
     new = np.ones(len(i), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (owner[i][1:] != owner[i][:-1])
-    return sig[new], start[i][new], size[new], owner[i][new]
+    first = np.flatnonzero(new)
+    final = np.append(first[1:], len(i)) - 1
+    last = start[i][final] if len(i) else start[:0]
+    return sig[new], start[i][new], size[new], owner[i][new], last, np.where(final > first, length[i][new], 0)
 
 
 def window_hashes(points: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -116,6 +120,16 @@ def common_run(a: str, b: str, i: int, j: int) -> tuple[int, int]:
     return m, n
 
 
+def periodic_run(text: str, start: int, length: int, step: int) -> tuple[int, int]:
+    """(start, length) of a stretch that repeats every `step` characters, drawn out as far as it goes on repeating."""
+    stop = start + length
+    while start > 0 and text[start - 1] == text[start - 1 + step]:
+        start -= 1
+    while stop < len(text) and text[stop] == text[stop - step]:
+        stop += 1
+    return start, stop - start
+
+
 def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span_chars: int = 200, chain_chars: int = 80, symbol_chars: int = 24, hot: int = 48) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, spans, members). links (x, y), x < y: classes that share a span of at least span_chars; spans (rep, start,
     length): places of shared spans, which may overlap; members (k0, rep, copies, n_chars)."""
@@ -147,30 +161,30 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span_
 
     def occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in H.batches(frames, 200):
-            points, n, sig, at, size, owner = signatures(f)
+            points, n, sig, at, size, owner, last, step = signatures(f)
             base = np.cumsum(n) - n
             rep = f["rep"].to_numpy(np.int64)
             many = est(sig) > hot
             c = ~many
-            yield pd.DataFrame({"sig": sig[c].view(np.int64), "rep": rep[owner[c]], "at": at[c] - base[owner[c]], "whole": False})
-            at, size, owner = at[many], size[many], owner[many]
+            yield pd.DataFrame({"sig": sig[c].view(np.int64), "rep": rep[owner[c]], "at": at[c] - base[owner[c]], "reach": last[c] - at[c] + size[c], "step": step[c], "whole": False})
+            at, size, owner, last = at[many], size[many], owner[many], last[many]
             lo = np.maximum(at + size - span_chars, base[owner])
-            hi = np.minimum(at, base[owner] + n[owner] - span_chars)
+            hi = np.minimum(last, base[owner] + n[owner] - span_chars)
             times = np.maximum(hi - lo + 1, 0)
             starts = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
             starts, where = np.unique(starts, return_index=True)
             owner = np.repeat(owner, times)[where]
             if len(starts):
                 h = window_hashes(points, starts, span_chars)
-                yield pd.DataFrame({"sig": h.view(np.int64), "rep": rep[owner], "at": starts - base[owner], "whole": True})
+                yield pd.DataFrame({"sig": h.view(np.int64), "rep": rep[owner], "at": starts - base[owner], "reach": span_chars, "step": 0, "whole": True})
 
-    found = materialize(rows.mapInPandas(occurrences, "sig bigint, rep bigint, at bigint, whole boolean"), "chains")
+    found = materialize(rows.mapInPandas(occurrences, "sig bigint, rep bigint, at bigint, reach bigint, step bigint, whole boolean"), "chains")
     per = found.groupBy("sig", "whole").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("sig", "whole")
     shared = materialize(found.join(per, ["sig", "whole"], "left_semi"), "shared")
     cold, spans = shared.filter("not whole"), shared.filter("whole")
-    x = cold.select("sig", F.col("rep").alias("x"), F.col("at").alias("i"))
-    y = cold.select("sig", F.col("rep").alias("y"), F.col("at").alias("j"))
-    pairs = x.join(y, "sig").filter("x < y").groupBy("x", "y").agg(F.collect_list(F.struct("i", "j")).alias("places"))
+    x = cold.select("sig", F.col("rep").alias("x"), F.col("at").alias("i"), F.col("reach").alias("ri"), "step")
+    y = cold.select("sig", F.col("rep").alias("y"), F.col("at").alias("j"), F.col("reach").alias("rj"), F.col("step").alias("sj"))
+    pairs = x.join(y, "sig").filter("x < y").groupBy("x", "y").agg(F.collect_list(F.struct("i", "j", "ri", "rj", F.greatest("step", "sj").alias("step"))).alias("places"))
     with_text = pairs.join(reps.select(F.col("rep").alias("x"), F.col("t0").alias("tx")), "x").join(reps.select(F.col("rep").alias("y"), F.col("t0").alias("ty")), "y")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,25 +192,30 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span_
             out = []
             for x_, y_, places, a, b in zip(f["x"], f["y"], f["places"], f["tx"], f["ty"]):
                 done: dict[int, int] = {}
-                for p in sorted((p["i"], p["j"]) for p in places):
-                    i, j = p
+                for i, j, ri, rj, step in sorted((p["i"], p["j"], p["ri"], p["rj"], p["step"]) for p in places):
+                    if step:  # a text repeats one symbol here: a stretch that holds a span at every phase covers the other one's stretch
+                        full = span_chars + step
+                        pi, ni = periodic_run(a, i, ri, step)
+                        pj, nj = periodic_run(b, j, rj, step)
+                        out.append((x_, y_, pi, pj, ni if ni >= span_chars and nj >= full else 0, nj if nj >= span_chars and ni >= full else 0))
                     if done.get(i - j, -1) > i:
                         continue
                     left, right = common_run(a, b, i, j)
                     done[i - j] = i + right
                     if left + right >= span_chars:
-                        out.append((x_, y_, i - left, j - left, left + right))
-            yield pd.DataFrame(out, columns=["x", "y", "i", "j", "n"])
+                        out.append((x_, y_, i - left, j - left, left + right, left + right))
+            yield pd.DataFrame(out, columns=["x", "y", "i", "j", "n", "m"])
 
-    matched = materialize(with_text.select("x", "y", "places", "tx", "ty").mapInPandas(verify, "x bigint, y bigint, i bigint, j bigint, n bigint"), "matched")
+    matched = materialize(with_text.select("x", "y", "places", "tx", "ty").mapInPandas(verify, "x bigint, y bigint, i bigint, j bigint, n bigint, m bigint"), "matched")
     a = spans.select("sig", F.col("rep").alias("x"))
     b = spans.select("sig", F.col("rep").alias("y"))
-    links = matched.select("x", "y").unionByName(a.join(b, "sig").filter("x < y").select("x", "y")).distinct()
+    links = matched.filter("n > 0 or m > 0").select("x", "y").unionByName(a.join(b, "sig").filter("x < y").select("x", "y")).distinct()
     places = (
         matched.select(F.col("x").alias("rep"), F.col("i").alias("start"), F.col("n").alias("length"))
-        .unionByName(matched.select(F.col("y").alias("rep"), F.col("j").alias("start"), F.col("n").alias("length")))
+        .unionByName(matched.select(F.col("y").alias("rep"), F.col("j").alias("start"), F.col("m").alias("length")))
         .unionByName(spans.select("rep", F.col("at").alias("start"), F.lit(span_chars).cast("bigint").alias("length")))
         .unionByName(members.filter("copies > 1 and k0 = rep").select("rep", F.lit(0).cast("bigint").alias("start"), F.col("n_chars").cast("bigint").alias("length")))
+        .filter("length > 0")
         .distinct()
     )
     return links, places, members
