@@ -85,7 +85,7 @@ def find_dataset(folders: Sequence[str], names: Sequence[str]) -> str:
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of all markdown files below a folder, hidden and cache folders left out."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     out = raw.select(F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("path"), F.col("value").alias("text"))
     return out.filter(~F.col("path").rlike(r"/(\.|__pycache__)"))
 
@@ -142,7 +142,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def split_dump(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): the blocks of a dump in which `<!-- file: path -->` lines start a block; a dump without markers raises."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     marker = X.non_empty(F.regexp_extract("line", r"^\s*<!--\s*file:\s*(.+?)\s*-->\s*$", 1))
     w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)  # a single file
     rows = lines.withColumn("marker", marker).withColumn("block", F.count("marker").over(w)).filter("block > 0")

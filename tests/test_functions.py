@@ -77,7 +77,7 @@ def test_fixtures_of_aggregates(spark):
 
 
 def test_anova_of_a_known_table(spark):
-    rows = [(a, b, v) for a, b, vs in (("x", "p", (4.0, 5, 6)), ("x", "q", (7.0, 8, 9)), ("y", "p", (5.0, 6, 7)), ("y", "q", (12.0, 13, 14))) for v in vs]
+    rows = [(a, b, v) for a, b, vs in (("x", "p", (4.0, 5, 6)), ("x", "q", (7.0, 8, 9)), ("y", "p", (5.0, 6, 7)), ("y", "q", (12.0, 13, 14))) for v in map(float, vs)]
     out = {r["term"]: r for r in analytics.anova(spark.createDataFrame(rows, "a string, b string, v double"), "a", "b", "v").collect()}
     assert out["a"]["sum_sq"] == pytest.approx(27) and out["b"]["sum_sq"] == pytest.approx(75) and out["a:b"]["sum_sq"] == pytest.approx(12) and out["Residual"]["sum_sq"] == pytest.approx(8)
     assert out["a"]["f"] == pytest.approx(27) and analytics.f_tail(5.317655, 1, 8) == pytest.approx(0.05, abs=1e-5)
