@@ -269,7 +269,7 @@ class Values:
             "date": self.pick([day, day, date8]), "role": self.pick(ROLES), "team": self.pick(TEAMS), "thing": self.pick(THINGS), "postcode": n(5),
             "room": f"{self.pick(['room', 'hall', 'bay', 'block'])} {self.pick('ABCDEFG')}{n(3)}", "code": self.pick([f"ERR_{cap.upper()}_{n(4)}", f'"{cap} fault {n(5)}"', f"code E{n(5)}", "0x8" + self.hex(7), "0x8" + self.hex(7)]),
             "host": f"{self.pick(['srv', 'app', 'fs', 'prt'])}-{place.lower()}-{n(3)}", "file": f"{cap.lower()}_{n(4)}.{self.pick(['pdf', 'log', 'csv', 'xlsx', 'docx'])}",
-            "ip": f"203.0.113.{n(2)}", "hex8": self.hex(8), "category": self.pick(["Hardware", "Access", "HR Support", "Purchase", "Storage"]),
+            "ip": f"203.0.113.{n(2)}", "hex8": self.hex(8), "category": self.pick(["Hardware", "Access", "HR Support", "Purchase", "Storage", "Internal Project", "Administrative rights", "Miscellaneous"]),
             "ssnlike": f"{n(3)}-{self.digits(2)}-{self.digits(4)}", "phonelike": f"{n(3)}-{n(3)}-{n(4)}",
         }
         return made.get(slot) or n(int(slot[1:]))
