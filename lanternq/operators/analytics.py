@@ -47,10 +47,15 @@ def pivot_mean(df: DataFrame, row: str, column: str, values: Sequence[str], meas
     return df.groupBy(row).agg(*means_)
 
 
-def describe_by(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def middle(c: Column, q: float, accuracy: int | None) -> Column:
+    """A percentile, exact with interpolation, or within 1 / accuracy of its rank where a group has too many distinct values to be counted."""
+    return F.percentile(c, q) if accuracy is None else F.percentile_approx(c, q, accuracy)
+
+
+def describe_by(df: DataFrame, by: Sequence[str], columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """Long form: group, metric, count, mean, median, min and max."""
     long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), number(c).alias("v")) for c in columns))).alias("s")).select(*by, "s.*")
-    return long.groupBy(*by, "metric").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.median("v"), 6).alias("median"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return long.groupBy(*by, "metric").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(middle(F.col("v"), 0.5, accuracy), 6).alias("median"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 def value_share(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -108,9 +113,10 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return out.select("bin", F.round(F.col("lo") + F.col("bin") * F.col("w"), 6).alias("low"), F.round(F.col("lo") + (F.col("bin") + 1) * F.col("w"), 6).alias("high"), "n")
 
 
-def quartiles(df: DataFrame, by: str, column: str) -> DataFrame:
-    q = df.groupBy(by).agg(F.percentile(number(column), F.array(*(F.lit(x) for x in (0.25, 0.5, 0.75)))).alias("q"), F.round(F.avg(number(column)), 6).alias("mean"))
-    return q.select(by, *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))), "mean")
+def quartiles(df: DataFrame, by: str, column: str, accuracy: int | None = None) -> DataFrame:
+    v = number(column)
+    named = (F.round(middle(v, q, accuracy), 6).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
+    return df.groupBy(by).agg(*named, F.round(F.avg(v), 6).alias("mean"))
 
 
 def macro_f1(df: DataFrame, gold: str, predicted: str) -> DataFrame:

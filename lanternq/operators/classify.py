@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from lanternq.functions import text as X
 from lanternq.functions import vectors as V
 from lanternq.functions import vocabulary as W
+from lanternq.session import broadcast_if_small
 
+#: Labels whose centroids may be broadcast; more are refused.
+MAX_LABELS = 10_000
 REGISTRY: dict[str, Callable] = {}
 
 
@@ -100,7 +103,9 @@ def centroids(df: DataFrame, label: str, vector: str, epsilon: float = 1e-9) ->
 
 def classify_by_centroid(df: DataFrame, key: str, vector: str, cents: DataFrame, digits: int = 6) -> DataFrame:
     """(key, label, p) for every label: softmax of the cosines with the centroids, cosines below 0 as they are. Centroids are one row per
-    label and are broadcast."""
+    label, at most MAX_LABELS, and are broadcast."""
+    if cents.limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     c = cents.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("cs"))
     d = df.select(F.col(key), V.doubles(vector).alias("v")).join(F.broadcast(c))
     cos = X.let(V.unit("v"), lambda u: F.transform("cs", lambda s: V.dot(u, s["centroid"])))
@@ -117,7 +122,7 @@ def centroid_similarity(cents: DataFrame, digits: int = 6) -> DataFrame:
     """(a, b, cosine) of all ordered pairs of different labels."""
     a = cents.select(F.col("label").alias("a"), F.col("centroid").alias("va"))
     b = cents.select(F.col("label").alias("b"), F.col("centroid").alias("vb"))
-    return a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", "b", F.round(V.cosine("va", "vb"), digits).alias("cosine"))
+    return a.join(broadcast_if_small(b, MAX_LABELS), F.col("a") != F.col("b")).select("a", "b", F.round(V.cosine("va", "vb"), digits).alias("cosine"))
 
 
 def standardised(df: DataFrame, key: str, vector: str, floor: float = 1e-6, digits: int = 6) -> DataFrame:
