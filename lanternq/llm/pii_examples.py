@@ -3,6 +3,8 @@ sentences that only resemble them. A seeded generator fills the slots with inven
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -129,6 +131,26 @@ Kind regards, {team}
 Many thanks, {team}
 {code} comes back after {n3} attempts.
 serial SN{hex8}. {code} is shown.
+my {thing} is slow today
+the {thing} was fine yesterday, please check it
+new {thing} please
+my screen is black again
+vpn down since this morning
+please fix it soon, many thanks
+call me back please
+reset my account now
+as discussed, see attached
+same issue as last week, very urgent
+is the network down today
+printer out of paper again
+Items left at Gate {n2}. Items left at Gate {n3}.
+Kindly have {team} look at {host} prior to {time} on {date}.
+Hello team, Visitors wait at the gate, so a reply before {time} would help us at {place} with {ref}.
+Dear help desk, Nobody can print labels, so a reply before {time} would help us at {place} with {ref}.
+Hi, Reports go out by hand and {n3} people in {room} are affected.
+The video bar with serial SN{hex8} is not recognised in {room}.
+the {thing} with serial SN{n6}B{n1} is not recognised in {room}.
+Training is postponed. Two orders are on hold. The whole row shares one screen.
 Hi, by submitting this form you confirm that the device is company property and may be wiped by the support crew at any time.
 Sent through the self service portal. Do not change the subject line.
 Meter reading {n10}, coil {n3} {n3} {n3}, checked {date}.
@@ -163,7 +185,7 @@ Desde {date} el equipo {asset} en {place} muestra {code} todo el día.
 # Plain words used to fill slots.
 ROLES = "dispatcher;team lead;site manager;shift supervisor;warehouse clerk;sales assistant;lab technician;new starter;trainee;buyer;planner;night operator;controller;analyst;receptionist;contract engineer;field auditor".split(";")
 TEAMS = "network operations;payroll;facilities;the service desk;the print room;compliance;accounts payable;site security;the mobility crew;logistics;records;talent services;plant maintenance;procurement;the data platform group".split(";")
-THINGS = "desk phone;card reader;thin client;label printer;docking station;webcam;barcode scanner;wireless presenter;charging cart;conference phone;projector;headset;second monitor;external drive".split(";")
+THINGS = "desk phone;card reader;thin client;label printer;docking station;webcam;barcode scanner;wireless presenter;charging cart;conference phone;projector;headset;second monitor;external drive;multifunction copier;signature pad;handheld terminal;badge printer;video bar;plotter;keyboard;trackball;tablet".split(";")
 HARDWARE = "Inch Drive Bay;Port Drive Bay;Pin Row Rack;Pin Way Switch;Hour Court Desk;Seat Drive Bay;Pin Close Button;Hour Row Rack;Seat Way Switch;Street Light Port;Lane Card Slot;Square Road Map".split(";")
 DAYS = "Monday Tuesday Wednesday Thursday Friday Saturday".split()
 MONTHS = "January February March April May June July August September October November December".split()
@@ -179,23 +201,21 @@ STREET_STEMS = "gate wood field dale bourne brook mere bark hill".split()
 class Values:
     """Invented values for the slots. known: the names of a name list, used for about half of all names."""
 
-    def __init__(self, rng: np.random.Generator, given: list[str], family: list[str]) -> None:
-        self.rng, self.known = rng, {"given": given, "family": family}
-
-    def pick(self, options):
-        return options[int(self.rng.integers(len(options)))]
+    def __init__(self, seed: int, given: list[str], family: list[str]) -> None:
+        self.rng, self.known = random.Random(seed), {"given": given, "family": family}
+        self.pick = self.rng.choice
 
     def chance(self, p: float) -> bool:
-        return bool(self.rng.random() < p)
+        return self.rng.random() < p
 
     def digits(self, n: int) -> str:
-        return "".join(str(d) for d in self.rng.integers(0, 10, n))
+        return "".join(self.rng.choices("0123456789", k=n))
 
     def hex(self, n: int) -> str:
-        return "".join(self.pick("0123456789ABCDEF") for _ in range(n))
+        return "".join(self.rng.choices("0123456789ABCDEF", k=n))
 
     def stem(self, most: int = 2) -> str:
-        return "".join(self.pick(ONSETS) + self.pick(VOWELS) for _ in range(int(self.rng.integers(1, most + 1))))
+        return "".join(self.pick(ONSETS) + self.pick(VOWELS) for _ in range(self.rng.randrange(1, most + 1)))
 
     def one_name(self, kind: str) -> str:
         if kind == "given" and self.chance(0.06):
@@ -225,7 +245,7 @@ class Values:
         return out.upper() if self.chance(0.08) else out
 
     def phone(self) -> str:
-        a, b, c = str(self.rng.integers(2, 10)) + self.digits(2), "555", "0" + self.digits(3)
+        a, b, c = str(self.rng.randrange(2, 10)) + self.digits(2), "555", "0" + self.digits(3)
         uk = "900" + self.digits(3)
         return self.pick([
             f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}", f"{a}{b}{c}", f"+1 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"07700 {uk}", f"+44 (0)7700 {uk}",
@@ -237,11 +257,11 @@ class Values:
         two = [self.digits(2) for _ in range(3)]
         return self.pick([
             f"{self.digits(3)}{s}{self.digits(2)}{s}{self.digits(4)}", s.join(["QQ", *two, self.pick("ABCD")]), s.join(["QQ", *two, self.pick("ABCD")]),
-            f"{self.rng.integers(50, 100)}{self.rng.integers(1, 13):02d}{self.rng.integers(1, 29):02d}{self.pick('-+/')}{self.digits(4)}", f"{self.pick('XYZ')}{self.digits(8)}",
+            f"{self.rng.randrange(50, 100)}{self.rng.randrange(1, 13):02d}{self.rng.randrange(1, 29):02d}{self.pick('-+/')}{self.digits(4)}", f"{self.pick('XYZ')}{self.digits(8)}",
         ])
 
     def address(self) -> str:
-        no = str(self.rng.integers(1, 300)) + (self.pick("abcABC") if self.chance(0.12) else "")
+        no = str(self.rng.randrange(1, 300)) + (self.pick("abcABC") if self.chance(0.12) else "")
         road = (self.stem() + self.pick(STREET_STEMS)).capitalize()
         k = self.rng.random()
         if k < 0.25:
@@ -255,30 +275,43 @@ class Values:
 
     def other(self, slot: str) -> str:
         cap = (self.stem() + self.pick(["aa", "os", "yen", "ia", "en", "x", "ea", "iora", "da"])).capitalize()
-        n = lambda k: str(self.rng.integers(1, 10)) + self.digits(k - 1)
-        version = f"{self.rng.integers(1, 15)}.{self.rng.integers(0, 14)}.{self.rng.integers(100, 5000)}"
-        time = f"{self.rng.integers(6, 20)}:{self.rng.integers(0, 60):02d}"
-        asset = self.pick(["NB", "HX", "PRT-", "WS-", "TAB-"]) + self.digits(5)
+        n = lambda k: str(self.rng.randrange(1, 10)) + self.digits(k - 1)
+        version = lambda: f"{self.rng.randrange(1, 15)}.{self.rng.randrange(0, 14)}.{self.rng.randrange(100, 5000)}"
         place = cap[:-1] + self.pick(["ford", "holm", "by", "wick", "stead", "burgh", "haven", "mere"])
-        product = cap + self.pick(["", " Hub", " Flow", " Client", " Suite", " Vault", " Board", " Viewer", " Sync", " Desk", " Connect"])
-        ref = self.pick([f"INC{n(6)}", f"REQ{n(6)}", f"#{n(6)}", f"case {n(6)}"])
-        day = self.pick(["", "last ", "early "]) + f"{self.pick(DAYS)} {self.rng.integers(1, 29)} {self.pick(MONTHS)}"
-        date8 = f"2025-{self.rng.integers(1, 13):02d}-{self.rng.integers(1, 29):02d}"
+        date8 = lambda: f"2025-{self.rng.randrange(1, 13):02d}-{self.rng.randrange(1, 29):02d}"
+        day = lambda: self.pick(["", "last ", "early "]) + f"{self.pick(DAYS)} {self.rng.randrange(1, 29)} {self.pick(MONTHS)}"
         made = {
-            "time": time, "asset": asset, "place": place, "product": product, "ref": ref, "version": version, "cap": cap, "word": cap.lower(), "date8": date8,
-            "date": self.pick([day, day, date8]), "role": self.pick(ROLES), "team": self.pick(TEAMS), "thing": self.pick(THINGS), "postcode": n(5),
-            "room": f"{self.pick(['room', 'hall', 'bay', 'block'])} {self.pick('ABCDEFG')}{n(3)}", "code": self.pick([f"ERR_{cap.upper()}_{n(4)}", f'"{cap} fault {n(5)}"', f"code E{n(5)}", "0x8" + self.hex(7), "0x8" + self.hex(7)]),
-            "host": f"{self.pick(['srv', 'app', 'fs', 'prt'])}-{place.lower()}-{n(3)}", "file": f"{cap.lower()}_{n(4)}.{self.pick(['pdf', 'log', 'csv', 'xlsx', 'docx'])}",
-            "ip": f"203.0.113.{n(2)}", "hex8": self.hex(8), "category": self.pick(["Hardware", "Access", "HR Support", "Purchase", "Storage", "Internal Project", "Administrative rights", "Miscellaneous"]),
-            "ssnlike": f"{n(3)}-{self.digits(2)}-{self.digits(4)}", "phonelike": f"{n(3)}-{n(3)}-{n(4)}",
-        }
-        return made.get(slot) or n(int(slot[1:]))
+            "time": lambda: f"{self.rng.randrange(6, 20)}:{self.rng.randrange(0, 60):02d}",
+            "asset": lambda: self.pick(["NB", "HX", "PRT-", "WS-", "TAB-"]) + self.digits(5),
+            "place": lambda: place,
+            "product": lambda: cap + self.pick(["", " Hub", " Flow", " Client", " Suite", " Vault", " Board", " Viewer", " Sync", " Desk", " Connect"]),
+            "ref": lambda: self.pick(["INC", "REQ", "#", "case "]) + n(6),
+            "version": version,
+            "cap": lambda: cap,
+            "word": lambda: cap.lower(),
+            "date8": date8,
+            "date": lambda: self.pick([day, day, date8])(),
+            "role": lambda: self.pick(ROLES),
+            "team": lambda: self.pick(TEAMS),
+            "thing": lambda: self.pick(THINGS),
+            "postcode": lambda: n(5),
+            "room": lambda: f"{self.pick(['room', 'hall', 'bay', 'block'])} {self.pick('ABCDEFG')}{n(3)}",
+            "code": lambda: self.pick([f"ERR_{cap.upper()}_{n(4)}", f'"{cap} fault {n(5)}"', f"code E{n(5)}", "0x8" + self.hex(7), "0x8" + self.hex(7)]),
+            "host": lambda: f"{self.pick(['srv', 'app', 'fs', 'prt'])}-{place.lower()}-{n(3)}",
+            "file": lambda: f"{cap.lower()}_{n(4)}.{self.pick(['pdf', 'log', 'csv', 'xlsx', 'docx'])}",
+            "ip": lambda: f"203.0.113.{n(2)}",
+            "hex8": lambda: self.hex(8),
+            "category": lambda: self.pick(["Hardware", "Access", "HR Support", "Purchase", "Storage", "Internal Project", "Administrative rights", "Miscellaneous"]),
+            "ssnlike": lambda: f"{n(3)}-{self.digits(2)}-{self.digits(4)}",
+            "phonelike": lambda: f"{n(3)}-{n(3)}-{n(4)}",
+        }
+        return made[slot]() if slot in made else n(int(slot[1:]))
 
 
 def labelled_texts(seed: int, per_line: int, given: list[str], family: list[str]) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(text, [(start, stop, kind)]): every line of both tables filled per_line times, two or three lines to a text."""
     rng = np.random.default_rng(seed)
-    values = Values(rng, given, family)
+    values = Values(seed, given, family)
     blocks = [b for b in LABELLED.strip().replace("Kind regards,\n{name}\n{role}", "Kind regards,\v{name}\v{role}").split("\n")]
     lines = [b.replace("\v", "\n") for b in blocks] * 2 + RESEMBLING.strip().split("\n")
     made = []

@@ -70,11 +70,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    """The texts of tickets and results with typed placeholders, each row_key once as first received or sent."""
-    t = _t(spark, sf, "tickets").filter("ticket_id is not null").groupBy(F.col("ticket_id").alias("row_key")).agg(F.min_by("document", "received_at").alias("text"))
-    r = _t(spark, sf, "results").filter("result_id is not null").groupBy(F.col("result_id").alias("row_key")).agg(F.min_by("memory_context_used", F.struct("chunk_no", "logged_at")).alias("text"))
-    both = t.select(F.lit("document").alias("field_name"), "row_key", "text").unionByName(r.select(F.lit("memory_context_used").alias("field_name"), "row_key", "text"))
-    return pii.redact_column(both, ["field_name", "row_key"], "text", _t(spark, sf, "name_list"))
+    """All rows of both text columns with typed placeholders."""
+    return pii.redact_column(_private_texts(spark, sf), ["field_name", "row_key"], "text", _t(spark, sf, "name_list"))
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
