@@ -12,7 +12,7 @@ from lanternq.functions import text as X
 from lanternq.functions import vectors as V
 from lanternq.functions import vocabulary as W
 from lanternq.operators import analytics, classify, gold, guards, memory, retrieval
-from lanternq.plans import grid
+from lanternq.plans import grid, pipeline
 from lanternq.sources import readers, writers
 
 
@@ -193,3 +193,28 @@ def test_gold_gate(spark):
     df = spark.createDataFrame([(1, None), (5, 2)], "a int, b int")
     codes = [r[0] for r in df.select(gold.gate([(F.col("a") > 0, 2), (F.col("b") > 1, 3)])).collect()]
     assert codes == [3, 0]
+
+
+def test_pipeline(spark, tmp_path):
+    corpus = spark.createDataFrame([("a", "red mouse"), ("b", "blue mouse pad"), ("c", None)], "doc string, text string")
+    q = spark.createDataFrame([(1, "mouse"), (2, "zebra"), (3, None)], "q int, text string")
+    for mode, hits in (("rag_bm25", 2), ("rag_dense", 2), ("rag_hybrid", 2), ("none", 0), ("no such mode", 0)):
+        got = {r["q"]: r for r in pipeline.retrieve(q, corpus, mode).collect()}
+        assert set(got) == {1, 2, 3} and got[1]["hits"] == hits and got[2]["hits"] == got[3]["hits"] == 0 and got[2]["context"] == ""
+    only = pipeline.retrieve(q, corpus, "rag_bm25", known_ids=corpus.filter("doc = 'b'")).filter("q = 1").first()
+    assert only["hits"] == 1 and "[b]" in only["context"]
+    more = pipeline.append_documents(corpus, spark.createDataFrame([(1, " x "), (2, " "), (3, "y")], "at int, t string"), "t")
+    assert {r["doc"]: r["text"] for r in more.collect()}["dynamic:1"] == "y" and more.count() == 5
+    asked = [r["text"] for r in pipeline.with_query_fallback(q, "last").orderBy("q").collect()]
+    assert asked == ["mouse", "zebra", "last"]
+    seen = []
+
+    def encode(df):
+        seen.append(sorted(r["text"] or "" for r in df.collect()))
+        return df.select("sha256", F.array(F.lit(1.0)).alias("v"))
+
+    path = str(tmp_path / "cache")
+    assert pipeline.cached_vectors(corpus, encode, path).count() == 3
+    assert pipeline.cached_vectors(more, encode, path).count() == 5 and seen == [["", "blue mouse pad", "red mouse"], ["x", "y"]]
+    row = spark.sql("select 'dynamic:1' as a, 'x' as b, 'y' as c, array('y') as ok, ' ' as p, 'm' as m")
+    assert row.select(pipeline.first_policy(F.col("ok"), ["a", "b", "c"]), pipeline.first_prediction("p", "m")).first()[:] == ("y", "m")
