@@ -161,8 +161,15 @@ def first_by(df: DataFrame, key: str, value: Column, order: Column, name: str) -
     return df.groupBy(key).agg(F.min_by(value, order).alias(name))
 
 
-def batches(frames: Iterator[pd.DataFrame], size: int = 4000) -> Iterator[pd.DataFrame]:
-    """The same rows in frames of at most `size` rows, so that numpy work stays small."""
+def batches(frames: Iterator[pd.DataFrame], size: int = 4000, text: str | None = None, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of at most `size` rows and, with a text column, of about `chars` characters (a longer text is alone), so that
+    numpy work stays small whatever the length of texts."""
     for f in frames:
-        for i in range(0, len(f), size):
-            yield f.iloc[i : i + size]
+        upto = f[text].str.len().fillna(0).to_numpy(np.int64).cumsum() if text else None
+        i = 0
+        while i < len(f):
+            j = min(i + size, len(f))
+            if upto is not None:
+                j = min(j, max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + chars, side="right"))))
+            yield f.iloc[i:j]
+            i = j

@@ -154,13 +154,13 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span_
         return points, n, *chains(*recompress(points, n, symbol_chars), chain_chars)
 
     def all_signatures(f: pd.DataFrame) -> np.ndarray:
-        parts = [signatures(g)[2] for g in H.batches([f], 200)]
+        parts = [signatures(g)[2] for g in H.batches([f], 200, "t0", 300_000)]
         return np.concatenate(parts) if parts else np.zeros(0, H.U64)
 
     est = H.Estimate(spark, H.count_sketch(rows, all_signatures))
 
     def occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in H.batches(frames, 200):
+        for f in H.batches(frames, 200, "t0", 300_000):
             points, n, sig, at, size, owner, last, step = signatures(f)
             base = np.cumsum(n) - n
             rep = f["rep"].to_numpy(np.int64)

@@ -33,7 +33,7 @@ def sequence_sets(
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = H.WordHasher()
-        for f in H.batches(frames, 1000):
+        for f in H.batches(frames, 1000, "t0"):
             flat, n = H.word_arrays(f["t0"].tolist(), hasher)
             ok = n >= max(min_words, width)
             if not ok.any():

@@ -330,3 +330,13 @@ def test_queries_on_the_smallest_tables(spark, data):
     assert set(queries.oracle_sql()) <= set(queries.queries())
     for name, columns in {"p1_found": ["id_a", "id_b"], "p2_found": ["id_a", "id_b"], "p4_found": ["plan_id", "topic_group"], "p6_ids": ["doc_id", "ids"], "p8_found": ["doc_id_a", "doc_id_b"]}.items():
         assert queries.queries()[name](spark, data).columns == columns
+
+
+def test_batches_keep_rows_and_bound_characters():
+    import pandas as pd
+
+    f = pd.DataFrame({"t": ["a" * 5, None, "b" * 50, "c", "d" * 6, ""] * 3, "i": range(18)})
+    got = list(hashing.batches([f], 4, "t", 10))
+    assert pd.concat(got)["i"].tolist() == list(range(18)) and all(len(g) <= 4 for g in got)
+    assert all(len(g) == 1 or g["t"].str.len().fillna(0).sum() <= 10 for g in got)
+    assert [len(g) for g in hashing.batches([f], 7)] == [7, 7, 4]
