@@ -235,7 +235,7 @@ def segment_findings(texts: DataFrame, model: Model, text: str = "t__") -> tuple
                 seen.update(f["h__"])
             yield f
 
-    distinct = cut.select("h__", "seg__").mapInPandas(once, "h__ bigint, seg__ string").repartition("h__").mapInPandas(once, "h__ bigint, seg__ string")
+    distinct = cut.select("h__", "seg__").mapInPandas(once, "h__ bigint, seg__ string").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h__").mapInPandas(once, "h__ bigint, seg__ string")
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -249,11 +249,12 @@ def segment_findings(texts: DataFrame, model: Model, text: str = "t__") -> tuple
                 segs = f["seg__"].iloc[lo:hi].tolist()
                 got = m.find(segs)
                 hit = [i for i, g in enumerate(got) if g]
-                yield pd.DataFrame({
-                    "h__": f["h__"].iloc[lo:hi].to_numpy()[hit],
-                    "found__": [[{"pii_kind": k, "pii_text": segs[i][a:b]} for a, b, k in got[i]] for i in hit],
-                    "clean__": [redact(segs[i], got[i]) for i in hit],
-                })
+                if hit:
+                    yield pd.DataFrame({
+                        "h__": f["h__"].iloc[lo:hi].to_numpy()[hit],
+                        "found__": [[{"pii_kind": k, "pii_text": segs[i][a:b]} for a, b, k in got[i]] for i in hit],
+                        "clean__": [redact(segs[i], got[i]) for i in hit],
+                    })
                 lo = hi
 
     schema = "h__ bigint, found__ array<struct<pii_kind:string,pii_text:string>>, clean__ string"
