@@ -385,8 +385,9 @@ def grid_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select 'a' as part, result_id from results where chunk_no = 1 union all select 'b', result_id from results where chunk_no = 2")
 def union_strict(spark: SparkSession, sf: str) -> DataFrame:
-    r = results(spark, sf)
-    return guards.union_strict([r.filter(F.col("chunk_no") == k).select(F.lit(p).alias("part"), "result_id") for k, p in ((1, "a"), (2, "b"))])
+    """All chunks: those of odd chunk_no as part a, all others (even or null) as part b."""
+    odd = F.coalesce(F.col("chunk_no") % 2 == 1, F.lit(False))
+    return guards.union_strict([results(spark, sf).filter(c).select(F.lit(p).alias("part"), "result_id") for c, p in ((odd, "a"), (~odd, "b"))])
 
 
 @query("select distinct topic_group as raw from tickets where topic_group is not null and lower(topic_group) not in (select variant_text from label_variants)")
