@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import glob
+
 import pytest
 
 from lanternq import catalog
+from lanternq.functions import vocabulary as V
+from lanternq.plans.text_queries import sql_labels
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -14,10 +18,21 @@ def rows(df):
 
 
 def sql(data, text):
-    """text with {name} for each table."""
-    return sorted(duckdb.sql(text.format_map(type("T", (dict,), {"__missing__": lambda _, k: f"'{data}/{k}.parquet'"})())).fetchall())
+    c = duckdb.connect()
+    for f in glob.glob(f"{data}/*.parquet"):
+        c.sql(f"create view {f.rsplit('/', 1)[1][:-8]} as select * from '{f}'")
+    return sorted(c.sql(text).fetchall())
 
 
 def test_union_strict_takes_every_chunk(spark, data):
-    want = sql(data, "select case when chunk_no % 2 = 1 then 'a' else 'b' end, result_id from {results}")
+    want = sql(data, "select case when chunk_no % 2 = 1 then 'a' else 'b' end, result_id from results")
     assert rows(catalog.queries()["union_strict"](spark, data)) == want
+
+
+def test_class_weights_count_canonical_labels(spark, data):
+    labels = sql_labels("tickets", "topic_group")
+    want = sql(data, f"""with c as (select label, count(*) as n from tickets join ({labels}) on raw = topic_group where label is not null group by 1), t as (select sum(n) as total, count(*) as k from c)
+        select label, n, round(total / (k * n) * case label when 'HR Support' then 1.3e0 when 'Purchase' then 1.1e0 when 'Administrative rights' then 1.1e0 else 1e0 end, 6) from c, t""")
+    got = [r for r in rows(catalog.queries()["class_weights"](spark, data)) if r[1]]
+    assert len(got) > 4 and {r[0] for r in got} <= set(V.LABELS)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-6)
