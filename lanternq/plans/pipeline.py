@@ -57,11 +57,18 @@ def retrieve(queries: DataFrame, corpus: DataFrame, mode: str, k: int = 3, known
     return out.select("q", "context", F.coalesce("relevance", F.lit(0.0)).alias("relevance"), F.coalesce("hits", F.lit(0)).alias("hits"), (X.token_estimate("text") + X.token_estimate("context")).alias("cost_tokens"))
 
 
-def append_documents(corpus: DataFrame, new: DataFrame, text: str) -> DataFrame:
-    """The corpus (doc string, text) with new texts as `dynamic:n`, numbered by order of arrival (at). Statistics follow from the union."""
-    w = Window.orderBy("at")  # one update's messages, a stated batch
-    rows = new.filter(~X.is_blank(text)).select(F.concat(F.lit("dynamic:"), F.row_number().over(w) - 1).alias("doc"), X.strip(text).alias("text"))
-    return corpus.select("doc", "text").unionByName(rows)
+def append_documents(corpus: DataFrame, new: DataFrame, text: str, parts: int = 256) -> DataFrame:
+    """The corpus (doc string, text) with new texts as `dynamic:n`, numbered by order of arrival (at: a number, date or time), equal ones
+    by text. Texts are numbered in ranges of `at` of about equal size, and the counts of earlier ranges are added, so no task numbers
+    them all. Statistics follow from the union."""
+    rows = new.filter(~X.is_blank(text)).select("at", X.strip(text).alias("text"))
+    bounds = rows.agg(F.percentile_approx("at", [i / parts for i in range(1, max(parts, 2))]).alias("bounds__"))
+    rows = rows.join(F.broadcast(bounds)).withColumn("part__", F.coalesce(F.size(F.filter("bounds__", lambda b: b < F.col("at"))), F.lit(0))).drop("bounds__")  # nulls are in the first range; no bounds, one range
+    counts = rows.groupBy("part__").agg(F.count(F.lit(1)).alias("n__"))
+    before = F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # as many rows as parts
+    inside = F.row_number().over(Window.partitionBy("part__").orderBy("at", "text"))
+    numbered = rows.withColumn("rk__", inside).join(F.broadcast(counts.select("part__", before.alias("start__"))), "part__")
+    return corpus.select("doc", "text").unionByName(numbered.select(F.concat(F.lit("dynamic:"), F.col("start__") + F.col("rk__") - 1).alias("doc"), "text"))
 
 
 def with_query_fallback(queries: DataFrame, last_text: str) -> DataFrame:

@@ -38,7 +38,8 @@ def retrieve_none(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""select doc, length(text)::int as n from (select id as doc, content as text from kb_articles union all
 select 'dynamic:' || (row_number() over (order by ticket_id) - 1), {sql_strip('document')} from {TQ} where {sql_strip('document')} <> '')""")
 def index_append(spark: SparkSession, sf: str) -> DataFrame:
-    new = tickets(spark, sf).select(F.col("ticket_id").alias("at"), "document")
+    t = table(spark, sf, "tickets").filter("document is not null")  # a ticket that arrives again is one document, with its first text
+    new = t.groupBy(F.col("ticket_id").alias("at")).agg(F.min_by("document", "received_at").alias("document"))
     return pipeline.append_documents(corpus(spark, sf), new, "document").select("doc", F.length("text").alias("n"))
 
 

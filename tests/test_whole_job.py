@@ -8,7 +8,8 @@ import pytest
 
 from lanternq import catalog
 from lanternq.functions import vocabulary as V
-from lanternq.plans.text_queries import sql_labels
+from lanternq.plans import pipeline
+from lanternq.plans.text_queries import sql_labels, sql_strip
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -36,3 +37,19 @@ def test_class_weights_count_canonical_labels(spark, data):
     got = [r for r in rows(catalog.queries()["class_weights"](spark, data)) if r[1]]
     assert len(got) > 4 and {r[0] for r in got} <= set(V.LABELS)
     assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-6)
+
+
+def test_index_append_takes_every_ticket(spark, data):
+    want = sql(data, f"""with t as (select ticket_id, arg_min(document, received_at) as document from tickets where document is not null group by 1)
+        select id, length(content)::int from kb_articles union all select 'dynamic:' || (row_number() over (order by ticket_id) - 1), length({sql_strip('document')})::int from t where {sql_strip('document')} <> ''""")
+    assert rows(catalog.queries()["index_append"](spark, data)) == want
+
+
+@pytest.mark.parametrize("at", [[None, None, *([5] * 20), *range(40)], [None, None, None]])
+@pytest.mark.parametrize("parts", [1, 3, 256])
+def test_appended_texts_are_numbered_in_parts(spark, parts, at):
+    new = spark.createDataFrame([(a, f"t{i:03}") for i, a in enumerate(at)], "at int, t string")
+    corpus = spark.createDataFrame([], "doc string, text string")
+    got = {r["doc"]: r["text"] for r in pipeline.append_documents(corpus, new, "t", parts).collect()}
+    want = sorted(((a is not None, a or 0, f"t{i:03}") for i, a in enumerate(at)))
+    assert got == {f"dynamic:{i}": w[2] for i, w in enumerate(want)}
