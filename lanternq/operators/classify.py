@@ -4,8 +4,10 @@ Probabilities are long tables (id, label, p) or arrays in label order; every arg
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from lanternq.session import broadcast_if_small
 
 #: Labels whose centroids may be broadcast; more are refused.
 MAX_LABELS = 10_000
+#: Labels of a trained model; more are refused.
+MAX_MODEL_LABELS = 1000
 REGISTRY: dict[str, Callable] = {}
 
 
@@ -137,25 +141,50 @@ def choose(candidates: DataFrame, order: Sequence[Column]) -> DataFrame:
     return candidates.orderBy(*order).limit(1)
 
 
+def _accents() -> tuple[str, str]:
+    """Arguments of translate: letters and digits that decompose to a single one once combining marks are gone, and that one; then the marks,
+    which are dropped. Characters that decompose to several (ligatures, syllables) stay."""
+    plain, marks = {}, []
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x30000)]):
+        d = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if not d:
+            marks.append(c)
+        elif d != c and len(d) == 1 and (d.isalnum() or d == "_"):
+            plain[c] = d
+    return "".join(plain) + "".join(marks), "".join(plain.values())
+
+
 def tfidf_model(train: DataFrame, text: str, label: str, features: int = 20000, max_df: float = 0.9, min_df: float = 2.0):
-    """(pipeline model, label names): counts of 1- to 3-grams, log-scaled, times smoothed inverse document frequency, scaled to length 1, into a class-balanced
-    multinomial logistic regression."""
+    """(pipeline model, label names): counts of 1- to 3-grams, log-scaled (1 + ln), times smoothed inverse document frequency, scaled to length 1,
+    into a class-balanced multinomial logistic regression. Words are lower-cased, without accents, of two characters at least, and none of
+    Spark's English stop words (whose list is not scikit-learn's). More than MAX_MODEL_LABELS labels are refused."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, SQLTransformer, StringIndexer
+    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, SQLTransformer, StopWordsRemover, StringIndexer
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    names = [r[0] for r in train.select(label).distinct().orderBy(label).limit(1000).collect()]
+    names = [r[0] for r in train.select(label).distinct().orderBy(label).limit(MAX_MODEL_LABELS + 1).collect()]
+    if len(names) > MAX_MODEL_LABELS:
+        raise ValueError(f"more than {MAX_MODEL_LABELS} labels")
     w = Window.partitionBy(label)
     n = train.count()
     weighted = train.withColumn("weight", F.lit(n) / (F.lit(len(names)) * F.count(F.lit(1)).over(w)))
+
+    def sublinear(v):
+        return SparseVector(v.size, v.indices, 1 + np.log(v.values))
+
+    train.sparkSession.udf.register("lanternq_sublinear", F.udf(sublinear, VectorUDT(), useArrow=False))
+    accented, plain = _accents()
+    words = SQLTransformer(statement=f"SELECT *, regexp_extract_all(translate(lower(coalesce({text}, '')), '{accented}', '{plain}'), '[\\\\p{{L}}\\\\p{{N}}_]{{2,}}', 0) AS words FROM __THIS__")
+    stop = sorted({x for s in StopWordsRemover.loadDefaultStopWords("english") for x in s.split("'")})
     grams = SQLTransformer(
-        statement=f"SELECT *, concat(ws, CASE WHEN size(ws) > 1 THEN transform(sequence(1, size(ws) - 1), i -> concat_ws(' ', slice(ws, i, 2))) ELSE array() END, "
-        f"CASE WHEN size(ws) > 2 THEN transform(sequence(1, size(ws) - 2), i -> concat_ws(' ', slice(ws, i, 3))) ELSE array() END) AS grams FROM "
-        f"(SELECT *, transform(regexp_extract_all(coalesce({text}, ''), '[A-Za-z0-9_]+', 0), x -> lower(x)) AS ws FROM __THIS__)"
+        statement="SELECT *, concat(ws, CASE WHEN size(ws) > 1 THEN transform(sequence(1, size(ws) - 1), i -> concat_ws(' ', slice(ws, i, 2))) ELSE array() END, "
+        "CASE WHEN size(ws) > 2 THEN transform(sequence(1, size(ws) - 2), i -> concat_ws(' ', slice(ws, i, 3))) ELSE array() END) AS grams FROM __THIS__"
     )
     stages = [
-        grams, CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=features, minDF=min_df, maxDF=max_df), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"),
-        StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep"), LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=30, regParam=0.01),
+        words, StopWordsRemover(inputCol="words", outputCol="ws", stopWords=stop), grams, CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=features, minDF=min_df, maxDF=max_df),
+        SQLTransformer(statement="SELECT *, lanternq_sublinear(tf) AS logtf FROM __THIS__"), IDF(inputCol="logtf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features"),
+        StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep"), LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=2000, regParam=0.01),
     ]
     return Pipeline(stages=stages).fit(weighted), names
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import glob
+import math
 
 import pytest
 
 from lanternq import catalog
 from lanternq.functions import vocabulary as V
+from lanternq.operators import classify
 from lanternq.plans import pipeline
 from lanternq.plans.text_queries import sql_labels, sql_strip
 
@@ -53,3 +55,19 @@ def test_appended_texts_are_numbered_in_parts(spark, parts, at):
     got = {r["doc"]: r["text"] for r in pipeline.append_documents(corpus, new, "t", parts).collect()}
     want = sorted(((a is not None, a or 0, f"t{i:03}") for i, a in enumerate(at)))
     assert got == {f"dynamic:{i}": w[2] for i, w in enumerate(want)}
+
+
+def test_tfidf_scales_counts_and_cleans_words(spark):
+    train = spark.createDataFrame([("red blue", "x"), ("red blue", "y"), ("green", "x"), ("cafe", "y"), ("cafe", "x")], "text string, label string")
+    model, names = classify.tfidf_model(train, "text", "label")
+    made = lambda *texts: [r["features"] for r in model.transform(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)).orderBy("i").collect()]
+    repeated, accented, plain, marks, stopped = made("red red red zzz blue", "Café", "cafe", "cafe\u0301", "red the blue")
+    assert names == ["x", "y"] and sorted(repeated.values)[1] / sorted(repeated.values)[0] == pytest.approx(1 + math.log(3))
+    assert accented == plain == marks and plain.numNonzeros() == 1
+    assert stopped.numNonzeros() == 3  # red, blue and "red blue"
+
+
+def test_tfidf_refuses_more_labels_than_it_names(spark):
+    train = spark.range(1001).selectExpr("'red' as text", "cast(id as string) as label")
+    with pytest.raises(ValueError, match="more than 1000"):
+        classify.tfidf_model(train, "text", "label")
