@@ -56,7 +56,7 @@ def filter_or_all(spark: SparkSession, sf: str) -> DataFrame:
 @query("select ticket_index, topic_group, ticket_text, 'TODO' as summary, 0 as steps, false as escalation_required from gold_audit order by ticket_index limit 40")
 def gold_template(spark: SparkSession, sf: str) -> DataFrame:
     none = F.expr("cast(array() as array<string>)")
-    g = table(spark, sf, "gold_audit").orderBy("ticket_index").limit(40)
+    g = table(spark, sf, "gold_audit")
     made = F.struct(F.lit("TODO").alias("summary"), none.alias("steps"), F.lit(False).alias("escalation_required"), F.lit("").alias("escalation_reason"), none.alias("kb_policies"), none.alias("acceptance_criteria"))
     out = g.select("ticket_index", "topic_group", "ticket_text", made.alias("r")).withColumn("r", gold.normal_resolution("r"))
     return out.select("ticket_index", "topic_group", "ticket_text", "r.summary", F.size("r.steps").alias("steps"), "r.escalation_required")

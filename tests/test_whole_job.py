@@ -71,3 +71,8 @@ def test_tfidf_refuses_more_labels_than_it_names(spark):
     train = spark.range(1001).selectExpr("'red' as text", "cast(id as string) as label")
     with pytest.raises(ValueError, match="more than 1000"):
         classify.tfidf_model(train, "text", "label")
+
+
+def test_gold_template_takes_every_row(spark, data):
+    want = sql(data, "select ticket_index, topic_group, ticket_text, 'TODO', 0, false from gold_audit")
+    assert sorted(map(str, rows(catalog.queries()["gold_template"](spark, data)))) == sorted(map(str, want))
