@@ -27,7 +27,7 @@ _ALL_Q = "(select ticket_id, arg_min_null(document, received_at) as document fro
 
 @query(f"""select t.ticket_id as q, coalesce(max(score), 0e0) as relevance, count(h.doc)::bigint as hits from {_ALL_Q} t left join {sql_top(_BM)} h on h.q = t.ticket_id group by 1""")
 def retrieve_payload(spark: SparkSession, sf: str) -> DataFrame:
-    return pipeline.retrieve(asked(spark, sf), corpus(spark, sf), "rag_bm25").select("q", "relevance", "hits")
+    return pipeline.retrieve(asked(spark, sf), corpus(spark, sf), "rag_bm25").select("q", "context", "relevance", "hits")
 
 
 @query(f"select ticket_id as q, '' as context, 0e0 as relevance, 0::bigint as hits, floor(coalesce(length(document), 0) * 0.25e0)::bigint as cost_tokens from {_ALL_Q}")

@@ -76,3 +76,13 @@ def test_tfidf_refuses_more_labels_than_it_names(spark):
 def test_gold_template_takes_every_row(spark, data):
     want = sql(data, "select ticket_index, topic_group, ticket_text, 'TODO', 0, false from gold_audit")
     assert sorted(map(str, rows(catalog.queries()["gold_template"](spark, data)))) == sorted(map(str, want))
+
+
+def test_contexts_quote_the_content_of_hits(spark, tmp_path):
+    spark.sql("select 100L as ticket_id, 'printer jams' as document, timestamp'2026-01-01' as received_at").write.parquet(f"{tmp_path}/tickets.parquet")
+    kb = [("a", "Short", "The printer jams when paper is damp."), ("b", None, " Clean the printer. "), ("c", "Printer jams", "Nothing.")]
+    spark.createDataFrame(kb, "id string, title string, content string").coalesce(1).write.parquet(f"{tmp_path}/kb_articles.parquet")
+    block = catalog.queries()["context_blocks"](spark, str(tmp_path)).first()["context"]
+    payload = catalog.queries()["retrieve_payload"](spark, str(tmp_path)).first()["context"]
+    for context in (block, payload):
+        assert [line for line in context.split("\n") if line.startswith("> ")] == ["> The printer jams when paper is damp.", "> Clean the printer."]
