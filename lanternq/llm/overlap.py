@@ -1,11 +1,12 @@
 """Problem 2: texts of other splits that lie wholly or almost wholly in a text of the training split.
 
-A fingerprint of a whole text cannot show that it lies in a longer one, so each sequence of five words gets a 64-bit similarity hash
-(signed votes of its words and of the sequence). A text with n distinct sequences of which at least the share c must be
+A fingerprint of a whole text cannot show that it lies in a longer one, so each sequence of five words gets a 64-bit code. The code is
+no similarity hash: the sequence's own hash outvotes its words, so each bit is that of the hash, and sequences that differ by a word
+have unrelated codes. What runs is an exact join on rare sequences. A text with n distinct sequences of which at least the share c must be
 found can lack n - ceil(c * n) of them, so of any n - ceil(c * n) + 1 sequences at least one is in the training text: the
 rarest ones, by a sketch of the training codes, are probed. Codes are cut into blocks; the blocks of the probes meet those of
-the training codes, within a Hamming radius of fewer bits than there are blocks, in salted parts where a block is hot. Candidates are
-verified by their exact sets.
+the training codes, within a small Hamming radius that only equal codes meet in practice, in salted parts where a block is hot.
+Candidates are verified by their exact sets.
 
 Texts with equal sets are one class. Defined results: null keys, texts or splits, and texts with fewer than min_words words,
 overlap with nothing; a key that occurs repeatedly counts once.
@@ -33,7 +34,7 @@ def _votes(h: np.ndarray) -> np.ndarray:
 
 
 def similarity_codes(flat: np.ndarray, h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Code of each sequence: bits by majority of its words' bits and, with weight width + 1, those of the whole sequence's hash."""
+    """Code of each sequence: votes of its words' bits and, with weight width + 1 and so always decisive, those of the whole sequence's hash."""
     words = _votes(H.mix(flat))
     sums = np.zeros((len(h), 64), np.int8)
     for k in range(width):
