@@ -79,7 +79,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return m + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis))
 
 
-def train(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_labels: int, dim: int, allowed: np.ndarray, epochs: int = 5, batch: int = 48, rate: float = 0.25, l2: float = 1e-6, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def train(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_labels: int, dim: int, allowed: np.ndarray, epochs: int = 3, batch: int = 48, rate: float = 0.25, l2: float = 1e-6, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(weights dim x labels, transitions). features (tokens x columns) are indices below dim; allowed marks possible transitions."""
     rng = np.random.default_rng(seed)
     w, trans = np.zeros((dim, n_labels), np.float32), np.where(allowed, 0, LOW).astype(np.float32)
@@ -91,15 +91,20 @@ def train(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_label
     for g in groups:
         tok, row, col = place(g, starts, lengths)
         used, inverse = np.unique(features[tok], return_inverse=True)
-        ready.append((lengths[g], tok, row, col, used, inverse.reshape(len(tok), -1)))
+        by_feature = np.argsort(inverse.ravel(), kind="stable")
+        first = np.searchsorted(inverse.ravel()[by_feature], np.arange(len(used)))
+        ready.append((lengths[g], tok, row, col, used, inverse.reshape(len(tok), -1), by_feature // features.shape[1], first))
     for epoch in range(epochs):
         step = rate / (1 + 0.3 * epoch)
         for k in rng.permutation(len(ready)):
-            n, tok, row, col, used, inv = ready[k]
+            n, tok, row, col, used, inv, by_feature, first = ready[k]
             steps, size = int(n.max()), len(n)
             local = w[used]
             e = np.zeros((steps, size, n_labels), np.float32)
-            e[col, row] = local[inv].sum(1)
+            score = local[inv[:, 0]]
+            for c in range(1, inv.shape[1]):
+                score += local[inv[:, c]]
+            e[col, row] = score
             alpha = np.empty_like(e)
             alpha[0] = e[0]
             for t in range(1, steps):
@@ -118,10 +123,7 @@ def train(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_label
             p[np.arange(len(tok)), y] -= 1
             inner = np.flatnonzero(col[1:] == col[:-1] + 1)
             np.subtract.at(pair, (y[inner], y[inner + 1]), 1)
-            flat = inv.ravel()
-            times = inv.shape[1]
-            grad = np.stack([np.bincount(flat, np.repeat(p[:, c], times), len(used)) for c in range(n_labels)], 1).astype(np.float32)
-            grad = grad / size + l2 * local
+            grad = np.add.reduceat(p[by_feature], first, axis=0) / size + l2 * local
             gw[used] += grad * grad
             w[used] = local - step * grad / np.sqrt(gw[used])
             pair /= size

@@ -1,40 +1,45 @@
-"""The field on sentences that it hasn't seen: whole lines of both tables are held out, a quarter at a time."""
+"""The field on sentences that it hasn't seen: every eighth line of both tables is held out. And the table stands on its own: its fixed
+parts are not sentences of the test tables."""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
 from lanternq.llm import pii
 from lanternq.llm import pii_examples as X
 
-FOLDS, KINDS = 4, ("email", "phone", "id_number", "address", "name")
-#: Recall and precision as measured (README); labels are scarce, so a kind may lose a little.
-MEASURED = {"email": (0.886, 0.884), "phone": (0.706, 0.740), "id_number": (0.604, 0.988), "address": (0.823, 0.887), "name": (0.566, 0.820)}
-
-
-def held_out(monkeypatch):
-    """{kind: [found, missed, wrong]} over all folds."""
-    blocks = X.LABELLED.strip().replace("Kind regards,\n{name}\n{role}", "Kind regards,\v{name}\v{role}").split("\n")
-    others, counts = X.RESEMBLING.strip().split("\n"), {k: [0, 0, 0] for k in KINDS}
-
-    def use(keep):
-        monkeypatch.setattr(X, "LABELLED", "\n".join(b for i, b in enumerate(blocks) if keep(i)).replace("\v", "\n"))
-        monkeypatch.setattr(X, "RESEMBLING", "\n".join(o for i, o in enumerate(others) if keep(i)))
-
-    for fold in range(FOLDS):
-        use(lambda i: i % FOLDS != fold)  # noqa: B023
-        model = pii.train_model.__wrapped__()  # the words that it knows are those of its lines, too
-        use(lambda i: i % FOLDS == fold)  # noqa: B023
-        made = X.labelled_texts(77, 20, [], [])
-        for (_, spans), got in zip(made, model.find([t for t, _ in made])):
-            for k in KINDS:
-                a, b = {s for s in spans if s[2] == k}, {s for s in got if s[2] == k}
-                counts[k] = [n + m for n, m in zip(counts[k], (len(a & b), len(a - b), len(b - a)))]
-    return counts
-
-
-def test_field_on_held_out_lines(monkeypatch):
-    counts = held_out(monkeypatch)
-    for k, (recall, precision) in MEASURED.items():
-        hit, miss, extra = counts[k]
-        assert hit / (hit + miss) == pytest.approx(recall, abs=0.05) and hit / (hit + extra) == pytest.approx(precision, abs=0.05), (k, counts[k])
+#: Least recall and precision on this eighth, trained without a name list; the figures over all eight eighths stand in the README.
+LEAST = {"email": (0.9, 0.9), "phone": (0.75, 0.85), "id_number": (0.75, 0.8), "address": (0.8, 0.85), "name": (0.8, 0.85)}
+
+
+def test_field_on_held_out_lines(spark):
+    lines = X.table_lines(X.LABELLED) + X.table_lines(X.RESEMBLING)
+    kept = tuple(x for i, x in enumerate(lines) if i % 8 != 3)
+    model = pii.train_model(spark, lines=kept)  # the words that it knows are those of its lines, too
+    others = [x for i, x in enumerate(lines) if i % 8 == 3 and "{w}" not in x and "{W}" not in x]
+    made = X.labelled_texts(77, 20, [], [], None, others)
+    found = model.find([t for t, _ in made])
+    for kind, (recall, precision) in LEAST.items():
+        hit = miss = extra = 0
+        for (_, spans), got in zip(made, found):
+            a, b = {s for s in spans if s[2] == kind}, {s for s in got if s[2] == kind}
+            hit, miss, extra = hit + len(a & b), miss + len(a - b), extra + len(b - a)
+        assert hit / (hit + miss) >= recall and hit / (hit + extra) >= precision, (kind, hit, miss, extra)
+
+
+def test_fixed_parts_do_not_stand_in_the_tables():
+    import pandas as pd
+
+    columns = (("tickets", "document"), ("documents", "text"), ("results", "memory_context_used"), ("kb_articles", "content"), ("gold_audit", "ticket_text"))
+    seen = False
+    for sf in ("sf0.001", "sf0.01"):
+        for table, column in columns:
+            path = Path(f"/root/testdata/{sf}/{table}.parquet")
+            if path.exists():
+                seen = True
+                blob = "\n".join(pd.read_parquet(path, columns=[column])[column].dropna().drop_duplicates())
+                assert [p for p in X.fixed_parts(X.LABELLED + X.RESEMBLING, 14) if p in blob] == []
+    if not seen:
+        pytest.skip("no test tables")
