@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of words, remembered while a task runs (the memory is emptied when it holds a million words)."""
+    """64-bit hashes of words, remembered while a task runs (the memory is emptied when it holds a million words). The lowest three
+    bits are the word's length, at most 7."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
@@ -42,7 +44,7 @@ class WordHasher:
         for w in words:
             h = known.get(w)
             if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+                h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) & ~7 | min(len(w), 7)
             out.append(h)
         return out
 
@@ -97,34 +99,59 @@ def bucket_of(signature: np.ndarray, bits: int) -> np.ndarray:
     return (mix(signature.view(U64)) >> U64(64 - bits)).astype(np.int64)
 
 
+def sketch_bits(expected: int, least: int = 16, most: int = 24) -> int:
+    """Buckets, as a power of two, for so many signatures: about one for every two of them, at most 2**most (64 MB of counts)."""
+    return int(min(max((max(expected, 1) // 2).bit_length(), least), most))
+
+
 def count_sketch(df: DataFrame, signatures: Callable[[pd.DataFrame], np.ndarray], bits: int = 20) -> np.ndarray:
-    """Counts per bucket of the signatures of all rows, as an array of 2**bits numbers. Each task counts its own rows in numpy; at
-    most 2**bits sums reach the driver, whatever the size of the data."""
+    """Counts per bucket of the signatures of all rows, as an array of 2**bits numbers. Each task counts its own rows in numpy and gives
+    its counts as packed blocks of bytes, which are added up block by block; 2**bits sums reach the driver, whatever the size of the data."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << bits, np.int64)
+        total, seen = np.zeros(1 << bits, np.uint32), False
         for f in batches(frames):
-            total += np.bincount(bucket_of(signatures(f), bits), minlength=1 << bits)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            yield pd.DataFrame({"b": at[i : i + 100_000], "n": total[at[i : i + 100_000]]})
+            total += np.bincount(bucket_of(signatures(f), bits), minlength=1 << bits).astype(np.uint32)
+            seen = True
+        if seen:
+            yield from _blocks(total)
+
+    return _gather(df.mapInPandas(count, _BLOCK), np.zeros(1 << bits, np.uint32), _add).astype(np.int64)
+
+
+def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums that stay at the largest number instead of running over."""
+    return np.minimum(a.astype(U64) + b, U64(2**32 - 1)).astype(np.uint32)
 
-    return packed(df.mapInPandas(count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")), bits)
 
+_BLOCK = "block int, data binary"
+_BLOCK_BYTES = 1 << 18
 
-def packed(sums: DataFrame, bits: int, block_bits: int = 12) -> np.ndarray:
-    """The numbers n at the places b as an array of 2**bits; they reach the driver as a few blocks of bytes, not as rows."""
 
-    def pack(f: pd.DataFrame) -> pd.DataFrame:
-        block = int(f["b"].iloc[0]) >> block_bits
-        part = np.zeros(1 << min(block_bits, bits), np.int64)
-        part[f["b"].to_numpy(np.int64) - (block << block_bits)] = f["n"].to_numpy(np.int64)
-        return pd.DataFrame({"block": [block], "data": [part.tobytes()]})
+def _blocks(whole: np.ndarray) -> Iterator[pd.DataFrame]:
+    size = _BLOCK_BYTES // whole.itemsize
+    for i in range(0, len(whole), size):
+        if whole[i : i + size].any():
+            yield pd.DataFrame({"block": [i // size], "data": [zlib.compress(whole[i : i + size].tobytes(), 1)]})
 
-    out = np.zeros(1 << bits, np.int64)
-    for r in sums.groupBy(F.shiftright("b", block_bits).alias("k")).applyInPandas(pack, "block bigint, data binary").collect():
-        part = np.frombuffer(bytes(r["data"]), np.int64)
-        out[(r["block"] << block_bits) : (r["block"] << block_bits) + len(part)] = part
+
+def _gather(parts: DataFrame, out: np.ndarray, join: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The blocks of all tasks combined by join on the executors, as one array on the driver."""
+    kind = out.dtype
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for f in frames:
+            for k, data in zip(f["block"], f["data"]):
+                x = np.frombuffer(zlib.decompress(data), kind)
+                sums[k] = join(sums[k], x) if k in sums else x
+        for k, x in sums.items():
+            yield pd.DataFrame({"block": [k], "data": [zlib.compress(x.tobytes(), 1)]})
+
+    size = _BLOCK_BYTES // out.itemsize
+    for r in parts.repartition(max(1, min(16, len(out) // size)), "block").mapInPandas(merge, _BLOCK).collect():
+        x = np.frombuffer(zlib.decompress(bytes(r["data"])), kind)
+        out[r["block"] * size : r["block"] * size + len(x)] = x
     return out
 
 
@@ -145,11 +172,47 @@ def salts(estimate: np.ndarray, most: int = 4096) -> np.ndarray:
     return np.ceil(estimate / most).astype(np.int64)
 
 
-def bit_filter(rows: DataFrame, bucket: str, bits: int) -> np.ndarray:
-    """One bit for each bucket that occurs in rows, as 2**bits / 64 words: a filter without false negatives and of fixed
-    size (2**bits / 8 bytes), made from 64-bit words combined by OR on the executors."""
-    words = rows.select(F.shiftright(bucket, 6).alias("b"), F.expr(f"shiftleft(1L, cast({bucket} & 63 as int))").alias("m")).groupBy("b").agg(F.bit_or("m").alias("n"))
-    return packed(words, bits - 6)
+def spread(estimate: np.ndarray, who: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(index, salt): the parts that rows of hot signatures go to. With p parts of a side there are p * p of them; a probe stays in its
+    part of the probes and meets all parts of the index, and the other way round, so that no part holds many rows of either side."""
+    parts = salts(estimate)
+    own = (mix(who.view(U64)) % parts.astype(U64)).astype(np.int64)
+    at = np.repeat(np.arange(len(parts)), parts)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return at, (own[at] * parts[at] + other if probe else other * parts[at] + own[at]).astype(np.int32)
+
+
+def filter_bits(expected: int) -> int:
+    """Bits, as a power of two, of a filter for so many entries: about sixteen each, at most 2**29 (64 MB)."""
+    return int(min(max((max(expected, 1) * 16).bit_length(), 18), 29))
+
+
+def bit_filter(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """One bit for each bucket of the column's values, as 2**bits / 64 words: a filter without false negatives and of bounded
+    size (2**bits / 8 bytes), combined by OR on the executors."""
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, seen = np.zeros(1 << (bits - 6), U64), False
+        for f in frames:
+            b = np.unique(bucket_of(f[column].to_numpy(np.int64), bits))
+            np.bitwise_or.at(words, b >> 6, U64(1) << (b & 63).astype(U64))
+            seen = True
+        if seen:
+            yield from _blocks(words)
+
+    return _gather(rows.select(column).mapInPandas(mark, _BLOCK), np.zeros(1 << (bits - 6), U64), np.bitwise_or)
+
+
+def keep_known(df: DataFrame, column: str, known: DataFrame, name: str, expected: int) -> DataFrame:
+    """Rows of df whose column occurs in known[name], and a few others: a filter that spares the shuffle of wide rows before a join."""
+    bits = filter_bits(expected)
+    shared = df.sparkSession.sparkContext.broadcast(bit_filter(known, name, bits))
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f[in_filter(shared.value, bucket_of(f[column].to_numpy(np.int64), bits))]
+
+    return df.mapInPandas(work, df.schema)
 
 
 def in_filter(words: np.ndarray, bucket: np.ndarray) -> np.ndarray:

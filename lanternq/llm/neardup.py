@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lanternq.llm import hashing as H
 from lanternq.llm import texts
-from lanternq.session import materialize
+from lanternq.session import discard, materialize
 
 
 def radius_for(similarity: float, dims: int, miss: float) -> int:
@@ -126,7 +126,8 @@ def candidate_pairs(reps: DataFrame, dims: int, radius: int, slack: int = 2) ->
     spark = reps.sparkSession
     rows = reps.select("rep", "syms")
     symbols = lambda f: np.stack(f["syms"].to_numpy()).astype(np.int32).view(np.uint32)
-    single = H.Estimate(spark, H.count_sketch(rows, lambda f: single_signatures(symbols(f)).ravel()))
+    size = rows.count()
+    single = H.Estimate(spark, H.count_sketch(rows, lambda f: single_signatures(symbols(f)).ravel(), H.sketch_bits(size * dims)))
 
     def hot(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros((dims, dims), np.int64), 0
@@ -141,7 +142,7 @@ def candidate_pairs(reps: DataFrame, dims: int, radius: int, slack: int = 2) ->
         got = pd.DataFrame({"i": np.arange(dims * dims + 1), "c": 0})
     c = got.sort_values("i")["c"].to_numpy(np.int64)
     pairs = group_dimensions(c[:-1].reshape(dims, dims), int(c[-1]))
-    both = H.Estimate(spark, H.count_sketch(rows, lambda f: pair_signatures(single_signatures(symbols(f)), pairs).ravel()))
+    both = H.Estimate(spark, H.count_sketch(rows, lambda f: pair_signatures(single_signatures(symbols(f)), pairs).ravel(), H.sketch_bits(size * dims // 2)))
     m = len(pairs)
 
     def all_signatures(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -154,17 +155,16 @@ def candidate_pairs(reps: DataFrame, dims: int, radius: int, slack: int = 2) ->
             sig, est = all_signatures(f)
             t = allocate(est[:, :m], est[:, m : 2 * m] + est[:, 2 * m :], radius + 1)
             use = np.concatenate([t == 0, t == 1, t == 1], axis=1)
-            parts = H.salts(est[use])
             who = np.repeat(f["rep"].to_numpy(np.int64), use.sum(1))
-            salt = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            own = np.repeat(np.repeat(nibbles(symbols(f)), use.sum(1), axis=0), parts, axis=0)
-            yield pd.DataFrame({"sig": np.repeat(sig[use].view(np.int64), parts), "salt": salt.astype(np.int32), "x": np.repeat(who, parts), **dict(zip(xs, own.T))})
+            at, salt = H.spread(est[use], who, True)
+            own = np.repeat(nibbles(symbols(f)), use.sum(1), axis=0)[at]
+            yield pd.DataFrame({"sig": sig[use][at].view(np.int64), "salt": salt, "x": who[at], **dict(zip(xs, own.T))})
 
     longs = -(-dims // 16)
     xs, ys = [f"cx{i}" for i in range(longs)], [f"cy{i}" for i in range(longs)]
     probes = materialize(rows.mapInPandas(probe, f"sig bigint, salt int, x bigint, {', '.join(f'{c} bigint' for c in xs)}"), "probes")
-    bits = 24
-    seen = probe_filter(probes, bits)
+    bits = H.filter_bits(probes.count())
+    seen = spark.sparkContext.broadcast(H.bit_filter(probes, "sig", bits))
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in H.batches(frames):
@@ -173,23 +173,15 @@ def candidate_pairs(reps: DataFrame, dims: int, radius: int, slack: int = 2) ->
             sig, est = sig.ravel(), est.ravel()
             ok = H.in_filter(seen.value, H.bucket_of(sig, bits))
             sig, est, who = sig[ok], est[ok], who[ok]
-            salt = (H.mix(who.view(H.U64)) % H.salts(est).astype(H.U64)).astype(np.int32)
-            own = np.repeat(nibbles(symbols(f)), 3 * m, axis=0)[ok]
-            yield pd.DataFrame({"sig": sig.view(np.int64), "salt": salt, "y": who, **dict(zip(ys, own.T))})
+            at, salt = H.spread(est, who, False)
+            own = np.repeat(nibbles(symbols(f)), 3 * m, axis=0)[ok][at]
+            yield pd.DataFrame({"sig": sig[at].view(np.int64), "salt": salt, "y": who[at], **dict(zip(ys, own.T))})
 
     indexed = rows.mapInPandas(index, f"sig bigint, salt int, y bigint, {', '.join(f'{c} bigint' for c in ys)}")
     near = differing(xs, ys) <= radius + slack
-    return probes.join(indexed, ["sig", "salt"]).filter((F.col("x") < F.col("y")) & near).select("x", "y").distinct()
-
-
-def probe_filter(probes: DataFrame, bits: int):
-    """A broadcast filter of fixed size of the signatures that are probed."""
-
-    def buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"b": np.unique(H.bucket_of(f["sig"].to_numpy(np.int64), bits))})
-
-    return probes.sparkSession.sparkContext.broadcast(H.bit_filter(probes.select("sig").mapInPandas(buckets, "b bigint"), "b", bits))
+    found = materialize(probes.join(indexed, ["sig", "salt"]).filter((F.col("x") < F.col("y")) & near).select("x", "y").distinct(), "candidates")
+    discard(probes)
+    return found
 
 
 def near_duplicates(
@@ -202,13 +194,17 @@ def near_duplicates(
 
     feats = materialize(texts.sequence_sets(docs, key, text, order, width, min_words, symbols, "syms array<int>"), "sets")
     reps, members = texts.classes(feats, ("seqs", "syms"))
+    discard(feats)
     pairs = candidate_pairs(reps, dims, radius_for(similarity, dims, miss))
-    a = reps.select(F.col("rep").alias("x"), F.col("seqs").alias("sx"))
-    b = reps.select(F.col("rep").alias("y"), F.col("seqs").alias("sy"))
+    n = pairs.count()
+    a = H.keep_known(reps.select(F.col("rep").alias("x"), F.col("seqs").alias("sx")), "x", pairs, "x", n)
+    b = H.keep_known(reps.select(F.col("rep").alias("y"), F.col("seqs").alias("sy")), "y", pairs, "y", n)
     shared = F.size(F.array_intersect("sx", "sy"))
     scored = pairs.join(a, "x").join(b, "y").select("x", "y", shared.alias("i"), (F.size("sx") + F.size("sy") - shared).alias("u"))
     links = scored.filter(F.col("i") >= F.lit(similarity) * F.col("u")).select("x", "y", (F.col("i") / F.col("u")).alias("similarity"))
-    return materialize(links, "links"), members
+    links = materialize(links, "links")
+    discard(reps, pairs)
+    return links, members
 
 
 def components(links: DataFrame, members: DataFrame) -> DataFrame:

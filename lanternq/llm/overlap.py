@@ -1,11 +1,13 @@
-"""Problem 2: texts of other splits that lie wholly or almost wholly in a text of the training split.
-
-A fingerprint of a whole text cannot show that it lies in a longer one, so each sequence of five words gets a 64-bit code. The code is
-no similarity hash: the sequence's own hash outvotes its words, so each bit is that of the hash, and sequences that differ by a word
-have unrelated codes. What runs is an exact join on rare sequences. A text with n distinct sequences of which at least the share c must be
-found can lack n - ceil(c * n) of them, so of any n - ceil(c * n) + 1 sequences at least one is in the training text: the
-rarest ones, by a sketch of the training codes, are probed. Codes are cut into blocks; the blocks of the probes meet those of
-the training codes, within a small Hamming radius that only equal codes meet in practice, in salted parts where a block is hot.
+"""Problem 2: texts of other splits that lie wholly or almost wholly in a text of the training split, by similarity-hash fingerprints.
+
+A fingerprint of a whole text cannot show that it lies in a longer one, so each sequence of five words gets a 64-bit similarity hash:
+every word votes with the bits of its own hash, the longer the word the more, and the majority decides. Sequences that differ by a small
+word have codes that differ in a few bits, sequences of the same words have the same code. Codes are cut into two blocks of 32 bits:
+codes within a Hamming radius of 1 agree in one of them, so blocks of other splits meet blocks of the training split.
+
+A text with n distinct sequences of which at least the share c must be found can lack n - ceil(c * n) of them, so of any n - ceil(c * n) + 1
+sequences at least one is in the training text, with its code: no pair is lost by probing only the rarest ones, by a sketch of the
+training codes. Hot blocks are spread over parts of both sides. The radius adds candidates whose sequences differ by a small word.
 Candidates are verified by their exact sets.
 
 Texts with equal sets are one class. Defined results: null keys, texts or splits, and texts with fewer than min_words words,
@@ -23,24 +25,28 @@ from pyspark.sql import functions as F
 
 from lanternq.llm import hashing as H
 from lanternq.llm import texts
-from lanternq.llm.neardup import probe_filter
-from lanternq.session import materialize
+from lanternq.session import discard, materialize
 
 BLOCKS, BLOCK_BITS = 2, 32
 
 
-def _votes(h: np.ndarray) -> np.ndarray:
-    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
+# The weight of a word of no to seven and more characters.
+VOTES = np.array([0, 1, 1, 1, 5, 7, 8, 9], np.int16)
 
 
-def similarity_codes(flat: np.ndarray, h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Code of each sequence: votes of its words' bits and, with weight width + 1 and so always decisive, those of the whole sequence's hash."""
-    words = _votes(H.mix(flat))
-    sums = np.zeros((len(h), 64), np.int8)
-    for k in range(width):
-        sums += words[at + k]
-    sums += np.int8(width + 1) * _votes(h)
-    return np.packbits(sums > width, axis=1).view(H.U64).ravel()
+def similarity_codes(flat: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The similarity hash of the `width` words from each place on; flat holds word hashes whose lowest bits are the word's length. Other
+    hashes make the weights of words and of their bits uneven, so that few ties between long words are left to a small one."""
+    out = np.empty(len(at), H.U64)
+    sign, more = (np.unpackbits(H.mix(flat ^ H.U64(c)).view(np.uint8).reshape(-1, 8), axis=1).view(np.int8) for c in (0, 0x5DEECE66D))
+    weight = VOTES[(flat & H.U64(7)).astype(np.int64)] * (16 + (flat >> H.U64(3) & H.U64(31)).astype(np.int16))
+    bits = (sign * 2 - 1) * (2 + more) * weight[:, None]
+    for i in range(0, len(at), 50_000):
+        sums = bits[at[i : i + 50_000]]
+        for k in range(1, width):
+            sums += bits[at[i : i + 50_000] + k]
+        out[i : i + 50_000] = np.packbits(sums > 0, axis=1).view(H.U64).ravel()
+    return out
 
 
 def block_keys(codes: np.ndarray) -> np.ndarray:
@@ -60,7 +66,7 @@ def contained_pairs(
     per_mille = round(share * 1000)
 
     def codes(flat, h, at, seqs, counts):
-        c = similarity_codes(flat, h, at, width)
+        c = similarity_codes(flat, at, width)
         known, where = np.unique(h.view(np.int64), return_index=True)
         return {"codes": H.split(c[where][np.searchsorted(known, seqs)].view(np.int64), counts)}
 
@@ -68,9 +74,11 @@ def contained_pairs(
     feats = materialize(texts.sequence_sets(src, key, text, order, width, min_words, codes, "codes array<bigint>", ("is_train",)), "codes")
     reps, members = texts.classes(feats, ("seqs", "codes"), (F.max("is_train").alias("has_train"), F.max(~F.col("is_train")).alias("has_other")))
     sides = materialize(feats.groupBy("k0").agg(F.min_by("is_train", "o0").alias("is_train")).join(members, "k0"), "sides")
+    discard(feats, members)
     trained = reps.filter("has_train").select("rep", "codes")
     flat_codes = lambda f: np.concatenate(f["codes"].to_numpy()).astype(np.int64).view(H.U64) if len(f) else np.zeros(0, H.U64)
-    est = H.Estimate(spark, H.count_sketch(trained, lambda f: block_keys(flat_codes(f)).ravel()))
+    size = trained.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0] * BLOCKS
+    est = H.Estimate(spark, H.count_sketch(trained, lambda f: block_keys(flat_codes(f)).ravel(), H.sketch_bits(size)))
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in H.batches(frames, 2000):
@@ -82,17 +90,14 @@ def contained_pairs(
             rank = np.arange(len(c)) - np.repeat(np.cumsum(n) - n, n)
             need = n - -(-n * per_mille // 1000) + 1
             use = order_[rank < np.repeat(need, n)]
-            parts = H.salts(e[use].ravel())
-            salt = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             who = np.repeat(f["rep"].to_numpy(np.int64)[owner[use]], BLOCKS)
-            yield pd.DataFrame({
-                "sig": np.repeat(keys[use].ravel().view(np.int64), parts), "salt": salt.astype(np.int32),
-                "cx": np.repeat(np.repeat(c[use], BLOCKS).view(np.int64), parts), "x": np.repeat(who, parts),
-            })
+            sig, code = keys[use].ravel(), np.repeat(c[use], BLOCKS)
+            at, salt = H.spread(e[use].ravel(), who, True)
+            yield pd.DataFrame({"sig": sig[at].view(np.int64), "salt": salt, "cx": code[at].view(np.int64), "x": who[at]})
 
     probes = materialize(reps.filter("has_other").select("rep", "codes").mapInPandas(probe, "sig bigint, salt int, cx bigint, x bigint"), "probes")
-    bits = 26
-    seen = probe_filter(probes, bits)
+    bits = H.filter_bits(probes.count())
+    seen = spark.sparkContext.broadcast(H.bit_filter(probes, "sig", bits))
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in H.batches(frames, 2000):
@@ -101,18 +106,29 @@ def contained_pairs(
             ok = H.in_filter(seen.value, H.bucket_of(keys, bits))
             who = np.repeat(f["rep"].to_numpy(np.int64), f["codes"].map(len).to_numpy(np.int64) * BLOCKS)[ok]
             keys, c = keys[ok], np.repeat(c, BLOCKS)[ok]
-            salt = (H.mix(who.view(H.U64)) % H.salts(est(keys)).astype(H.U64)).astype(np.int32)
-            yield pd.DataFrame({"sig": keys.view(np.int64), "salt": salt, "cy": c.view(np.int64), "y": who})
+            at, salt = H.spread(est(keys), who, False)
+            yield pd.DataFrame({"sig": keys[at].view(np.int64), "salt": salt, "cy": c[at].view(np.int64), "y": who[at]})
 
     indexed = trained.mapInPandas(index, "sig bigint, salt int, cy bigint, y bigint")
     near = F.bit_count(F.col("cx").bitwiseXOR(F.col("cy"))) <= radius
-    pairs = probes.join(indexed, ["sig", "salt"]).filter(near & (F.col("x") != F.col("y"))).select("x", "y").distinct()
-    a = reps.select(F.col("rep").alias("x"), F.col("seqs").alias("sx"))
-    b = reps.select(F.col("rep").alias("y"), F.col("seqs").alias("sy"))
+    pairs = materialize(probes.join(indexed, ["sig", "salt"]).filter(near & (F.col("x") != F.col("y"))).select("x", "y").distinct(), "candidates")
+    discard(probes)
+    n = pairs.count()
+    a = H.keep_known(reps.select(F.col("rep").alias("x"), F.col("seqs").alias("sx")), "x", pairs, "x", n)
+    b = H.keep_known(reps.select(F.col("rep").alias("y"), F.col("seqs").alias("sy")), "y", pairs, "y", n)
     scored = pairs.join(a, "x").join(b, "y").select("x", "y", F.size(F.array_intersect("sx", "sy")).alias("i"), F.size("sx").alias("n"))
     across = scored.filter(F.col("i") * 1000 >= F.col("n") * per_mille).select("x", "y", (F.col("i") / F.col("n")).alias("share"))
     same = reps.filter("has_train and has_other").select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.lit(1.0).alias("share"))
-    return materialize(across.unionByName(same), "overlaps"), sides
+    links = materialize(across.unionByName(same), "overlaps")
+    discard(reps, pairs)
+    return links, sides
+
+
+def pair_counts(links: DataFrame, sides: DataFrame) -> DataFrame:
+    """(other_key, pairs): for each key of another split that lies in training texts, in how many; members of classes are counted, not paired."""
+    train = sides.filter("is_train").groupBy(F.col("rep").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    per = links.join(train, "y").groupBy("x").agg(F.sum("n").alias("pairs"))
+    return sides.filter("not is_train").select(F.col("k0").alias("other_key"), F.col("rep").alias("x")).join(per, "x").select("other_key", "pairs")
 
 
 def expand(links: DataFrame, sides: DataFrame) -> DataFrame:

@@ -419,13 +419,8 @@ def redact_column(texts: DataFrame, keys: list[str], text: str, names: DataFrame
     pass through where they lie (a filter of fixed size over the segments with findings tells), only the others are shuffled."""
     src = texts.select(*keys, F.col(text).alias("t__")).dropna(subset=keys)
     found, cut = segment_findings(src, train_model(texts.sparkSession, *name_features(names)))
-    bits = 24
-
-    def buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"b": np.unique(H.bucket_of(f["h__"].to_numpy(np.int64), bits))})
-
-    seen = texts.sparkSession.sparkContext.broadcast(H.bit_filter(found.select("h__").mapInPandas(buckets, "b bigint"), "b", bits))
+    bits = H.filter_bits(found.count())
+    seen = texts.sparkSession.sparkContext.broadcast(H.bit_filter(found, "h__", bits))
     cutter = re.compile(SEPARATOR)
 
     def flag(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

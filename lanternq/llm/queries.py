@@ -29,13 +29,13 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.components(*_near_duplicates(spark, sf)).withColumnRenamed("k0", "ticket_id")
 
 
-def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+def _overlaps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     t = _t(spark, sf, "tickets").select("ticket_id", "document", "split_name", "received_at")
-    return overlap.expand(*overlap.contained_pairs(t, "ticket_id", "document", "split_name", order="received_at"))
+    return overlap.contained_pairs(t, "ticket_id", "document", "split_name", order="received_at")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    pair = _overlaps(spark, sf)
+    pair = overlap.expand(*_overlaps(spark, sf))
     return pair.select(F.least("other_key", "train_key").alias("id_a"), F.greatest("other_key", "train_key").alias("id_b"))
 
 
@@ -43,7 +43,7 @@ def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Per split and source: tickets, those that lie in a train ticket, and pairs."""
     t = _t(spark, sf, "tickets").filter("ticket_id is not null and split_name <> 'train'")
     t = t.groupBy("ticket_id").agg(F.min_by(F.struct("split_name", "source"), "received_at").alias("s")).select("ticket_id", "s.*")
-    n = _overlaps(spark, sf).groupBy(F.col("other_key").alias("ticket_id")).agg(F.count(F.lit(1)).alias("pairs"))
+    n = overlap.pair_counts(*_overlaps(spark, sf)).withColumnRenamed("other_key", "ticket_id")
     return t.join(n, "ticket_id", "left").groupBy("split_name", "source").agg(F.count(F.lit(1)).alias("tickets"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
 
 

@@ -54,7 +54,7 @@ def classes(features: DataFrame, columns: tuple[str, ...], sums: tuple = ()) ->
     by = ["key1", "key2"]
     reps = materialize(features.groupBy(*by).agg(F.min("k0").alias("rep"), *(F.first(c).alias(c) for c in columns), *sums), "classes")
     one = features.groupBy("k0").agg(F.min_by(F.struct(*by), F.struct("o0", *by)).alias("s")).select("k0", "s.*")
-    return reps.drop(*by), materialize(one.join(reps.select(*by, "rep"), by).select("k0", "rep"), "members")
+    return reps, materialize(one.join(reps.select(*by, "rep"), by).select("k0", "rep"), "members")
 
 
 def expand_links(links: DataFrame, members: DataFrame) -> DataFrame:

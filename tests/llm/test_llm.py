@@ -97,6 +97,73 @@ def test_overlaps_equal_brute_force(spark, corpus):
     assert len(want) > 40 and got == want
 
 
+def test_similar_sequences_have_similar_codes():
+    rng = random.Random(2)
+    long = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(6, 10))) for _ in range(300)]
+    short = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 3))) for _ in range(300)]
+    rows = []
+    for _ in range(400):
+        w = [rng.choice(long) for _ in range(4)]
+        rows += [w[:2] + [rng.choice(short)] + w[2:], w[:2] + [rng.choice(short)] + w[2:], w[:2] + [rng.choice(long)] + w[2:], [rng.choice(long) for _ in range(5)], w[2:] + w[:2] + [rows[-1][0] if rows else "x"]]
+    flat, n = hashing.word_arrays([" ".join(w) for w in rows], hashing.WordHasher())
+    h, _, at = hashing.sequences(flat, n, 5)
+    c = overlap.similarity_codes(flat, at, 5).reshape(400, -1)
+    far = lambda i, j: np.bitwise_count(c[:, i] ^ c[:, j])
+    assert (c != h.reshape(400, -1)).all()  # no plain hashes
+    assert far(0, 1).mean() < 5 < far(0, 2).mean() < 20 < 28 < far(0, 3).mean() < 36
+    assert ((far(0, 1) == 1).sum()) > 20  # within the radius of 1, but not equal
+    same = [["one", "seven", "eleven", "window", "at"], ["seven", "one", "at", "window", "eleven"]]
+    flat, n = hashing.word_arrays([" ".join(w) for w in same], hashing.WordHasher())
+    assert len(set(overlap.similarity_codes(flat, hashing.sequences(flat, n, 5)[2], 5).tolist())) == 1
+
+
+def test_radius_finds_overlaps_without_a_common_sequence(spark):
+    """With a low share and a small word changed in every sequence, only codes that differ in a bit bring texts together."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrs") for _ in range(rng.randint(6, 9)))
+    found = Counter()
+    for radius in (0, 1):
+        rng.seed(6)
+        rows = []
+        for i in range(80):
+            w = [word() for _ in range(30)]
+            a, b = list(w), list(w)
+            for j in range(2, 30, 5):
+                a[j], b[j] = rng.choice(["with", "from", "this", "that", "then"]), rng.choice(["onto", "over", "when", "here", "each"])
+            rows += [(2 * i, " ".join(a), "train"), (2 * i + 1, " ".join(b), "test")]
+        df = spark.createDataFrame(rows, "id bigint, body string, split string")
+        links, sides = overlap.contained_pairs(df, "id", "body", "split", share=0.0, radius=radius)
+        found[radius] = links.filter("x <> y").count()
+    assert found[0] < found[1] and found[1] > 5
+
+
+def test_pair_counts_equal_expanded_pairs(spark, corpus):
+    links, sides = overlap.contained_pairs(frame(spark, corpus), "id", "body", "split")
+    want = Counter(r["other_key"] for r in overlap.expand(links, sides).collect())
+    assert {r["other_key"]: r["pairs"] for r in overlap.pair_counts(links, sides).collect()} == want and max(want.values()) > 1
+
+
+def test_parts_of_hot_signatures_meet_once():
+    rng = np.random.default_rng(3)
+    est, x, y = np.array([9000.0] * 50), rng.integers(0, 10**9, 50), rng.integers(0, 10**9, 60)
+    pa, ps = hashing.spread(est, x, True)
+    ia, ins = hashing.spread(np.array([9000.0] * 60), y, False)
+    meets = Counter((i, j) for i, s in zip(pa, ps) for j, t in zip(ia, ins) if s == t)
+    assert set(meets.values()) == {1} and len(meets) == 3000 and set(ps) == set(range(9))
+
+
+def test_sketches_and_filters(spark):
+    df = spark.range(5000).selectExpr("id % 50 as v")
+    got = hashing.count_sketch(df, lambda f: f["v"].to_numpy(np.int64), 16)
+    want = np.bincount(hashing.bucket_of(np.arange(50), 16), minlength=1 << 16) * 100
+    assert (got == want).all() and hashing.count_sketch(df.limit(0), lambda f: f["v"].to_numpy(np.int64), 16).sum() == 0
+    assert hashing._add(np.array([2**32 - 2], np.uint32), np.array([9], np.uint32))[0] == 2**32 - 1
+    known = spark.range(20).selectExpr("id * 3 as k")
+    kept = {r["v"] for r in hashing.keep_known(df.distinct(), "v", known, "k", 20).collect()}
+    assert {v for v in range(50) if v % 3 == 0} <= kept and len(kept) < 30
+    assert hashing.keep_known(df, "v", known.limit(0), "k", 0).count() == 0
+
+
 def test_hot_signatures_are_salted(spark, corpus, monkeypatch):
     monkeypatch.setattr(hashing, "salts", lambda e, most=4: np.ceil(e / 4).astype(np.int64))
     links, members = neardup.near_duplicates(frame(spark, corpus), "id", "body", similarity=0.5, min_words=30)
