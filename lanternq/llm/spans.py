@@ -8,8 +8,9 @@ at `symbol_chars` characters. A chain is the shortest sequence of whole symbols
 share a span of `span_chars` share a chain inside it.
 
 Rare chains pair the texts that hold them, and the pairs are verified by extending the match in the texts. For chains that
-many texts share (estimated by a sketch of all chains), each occurrence gives the hashes of all spans of exactly span_chars
-that hold it, so that only texts that share such a span meet; none are dropped.
+many texts share (estimated by a sketch of all chains), each occurrence gives the hashes (128 bits) of all spans of exactly span_chars
+that hold it, so that only texts that share such a span meet; none are dropped. Spans that stand in the same texts are one before
+texts are paired, and the texts of hot spans are paired in parts.
 
 Texts that are equal are one class. Lengths and places are in Unicode characters. Defined results: null and shorter texts share
 nothing; equal texts of at least span_chars share all of their text; keys must be unique; an empty table gives no rows.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternq.llm import hashing as H
-from lanternq.session import materialize
+from lanternq.session import discard, materialize
 
 ROUNDS = 18
 BASE = 0x9E3779B97F4A7C15
@@ -100,9 +101,9 @@ def chains(name: np.ndarray, start: np.ndarray, length: np.ndarray, owner: np.nd
     return sig[new], start[i][new], size[new], owner[i][new], last, np.where(final > first, length[i][new], 0)
 
 
-def window_hashes(points: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(points: np.ndarray, starts: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
     """Hashes of the windows of `width` characters at the given places."""
-    x = H.mix(points.astype(H.U64) + H.U64(1))
+    x = H.mix(points.astype(H.U64) * H.U64(seed) + H.U64(seed))
     sums = np.concatenate([np.zeros(1, H.U64), np.cumsum(x * _powers(BASE, len(x)), dtype=H.U64)])
     return H.mix((sums[starts + width] - sums[starts]) * _powers(BASE_INVERSE, len(x))[starts] + H.U64(5))
 
@@ -147,6 +148,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span_
     keyed = materialize(keyed, "keyed")
     reps = materialize(keyed.groupBy(*by).agg(F.min("k0").alias("rep"), F.first("t0").alias("t0"), F.countDistinct("k0").alias("copies")), "texts")
     members = materialize(keyed.select("k0", *by).distinct().join(reps.select(*by, "rep", "copies", F.length("t0").alias("n_chars")), by).drop(*by), "members")
+    discard(keyed)
     rows = reps.select("rep", "t0")
 
     def signatures(f: pd.DataFrame) -> tuple:
@@ -157,7 +159,8 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span_
         parts = [signatures(g)[2] for g in H.batches([f], 200, "t0", 300_000)]
         return np.concatenate(parts) if parts else np.zeros(0, H.U64)
 
-    est = H.Estimate(spark, H.count_sketch(rows, all_signatures))
+    chars = rows.agg(F.coalesce(F.sum(F.length("t0")), F.lit(0))).first()[0]
+    est = H.Estimate(spark, H.count_sketch(rows, all_signatures, H.sketch_bits(chars // 8)))  # a symbol has about ten characters
 
     def occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in H.batches(frames, 200, "t0", 300_000):
@@ -166,7 +169,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span_
             rep = f["rep"].to_numpy(np.int64)
             many = est(sig) > hot
             c = ~many
-            yield pd.DataFrame({"sig": sig[c].view(np.int64), "rep": rep[owner[c]], "at": at[c] - base[owner[c]], "reach": last[c] - at[c] + size[c], "step": step[c], "whole": False})
+            yield pd.DataFrame({"sig": sig[c].view(np.int64), "more": 0, "rep": rep[owner[c]], "at": at[c] - base[owner[c]], "reach": last[c] - at[c] + size[c], "step": step[c], "whole": False})
             at, size, owner, last = at[many], size[many], owner[many], last[many]
             lo = np.maximum(at + size - span_chars, base[owner])
             hi = np.minimum(last, base[owner] + n[owner] - span_chars)
@@ -175,17 +178,23 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span_
             starts, where = np.unique(starts, return_index=True)
             owner = np.repeat(owner, times)[where]
             if len(starts):
-                h = window_hashes(points, starts, span_chars)
-                yield pd.DataFrame({"sig": h.view(np.int64), "rep": rep[owner], "at": starts - base[owner], "reach": span_chars, "step": 0, "whole": True})
-
-    found = materialize(rows.mapInPandas(occurrences, "sig bigint, rep bigint, at bigint, reach bigint, step bigint, whole boolean"), "chains")
-    per = found.groupBy("sig", "whole").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("sig", "whole")
-    shared = materialize(found.join(per, ["sig", "whole"], "left_semi"), "shared")
+                h, g = window_hashes(points, starts, span_chars), window_hashes(points, starts, span_chars, 0x2545F491)
+                yield pd.DataFrame({"sig": h.view(np.int64), "more": g.view(np.int64), "rep": rep[owner], "at": starts - base[owner], "reach": span_chars, "step": 0, "whole": True})
+
+    found = materialize(rows.mapInPandas(occurrences, "sig bigint, more bigint, rep bigint, at bigint, reach bigint, step bigint, whole boolean"), "chains")
+    same = ["sig", "more", "whole"]
+    per = found.groupBy(*same).agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select(*same)
+    shared = materialize(found.join(per, same, "left_semi"), "shared")
+    discard(found)
     cold, spans = shared.filter("not whole"), shared.filter("whole")
     x = cold.select("sig", F.col("rep").alias("x"), F.col("at").alias("i"), F.col("reach").alias("ri"), "step")
     y = cold.select("sig", F.col("rep").alias("y"), F.col("at").alias("j"), F.col("reach").alias("rj"), F.col("step").alias("sj"))
     pairs = x.join(y, "sig").filter("x < y").groupBy("x", "y").agg(F.collect_list(F.struct("i", "j", "ri", "rj", F.greatest("step", "sj").alias("step"))).alias("places"))
-    with_text = pairs.join(reps.select(F.col("rep").alias("x"), F.col("t0").alias("tx")), "x").join(reps.select(F.col("rep").alias("y"), F.col("t0").alias("ty")), "y")
+    pairs = materialize(pairs, "pairs")
+    n_pairs = pairs.count()
+    left = H.keep_known(reps.select(F.col("rep").alias("x"), F.col("t0").alias("tx")), "x", pairs, "x", n_pairs)
+    right = H.keep_known(reps.select(F.col("rep").alias("y"), F.col("t0").alias("ty")), "y", pairs, "y", n_pairs)
+    with_text = pairs.join(left, "x").join(right, "y")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in H.batches(frames, 1000):
@@ -207,9 +216,8 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span_
             yield pd.DataFrame(out, columns=["x", "y", "i", "j", "n", "m"])
 
     matched = materialize(with_text.select("x", "y", "places", "tx", "ty").mapInPandas(verify, "x bigint, y bigint, i bigint, j bigint, n bigint, m bigint"), "matched")
-    a = spans.select("sig", F.col("rep").alias("x"))
-    b = spans.select("sig", F.col("rep").alias("y"))
-    links = matched.filter("n > 0 or m > 0").select("x", "y").unionByName(a.join(b, "sig").filter("x < y").select("x", "y")).distinct()
+    discard(pairs, reps)
+    links = matched.filter("n > 0 or m > 0").select("x", "y").unionByName(span_links(spans)).distinct()
     places = (
         matched.select(F.col("x").alias("rep"), F.col("i").alias("start"), F.col("n").alias("length"))
         .unionByName(matched.select(F.col("y").alias("rep"), F.col("j").alias("start"), F.col("m").alias("length")))
@@ -221,6 +229,19 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span_
     return links, places, members
 
 
+def span_links(spans: DataFrame, most: int = 4096) -> DataFrame:
+    """(x, y), x < y: texts that share a span (sig, more). Of the spans that stand in the same texts, which two hashes of the set tell, one is
+    paired; with p parts of its texts there are p * p tasks' worth of rows, so that no part holds more than about `most` of either side."""
+    once = spans.select("sig", "more", "rep").distinct()
+    sets = once.groupBy("sig", "more").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(3), "rep")).alias("s2"))
+    chosen = sets.groupBy("n", "s1", "s2").agg(F.min(F.struct("sig", "more")).alias("w")).select("w.*", F.ceil(F.col("n") / most).alias("parts"))
+    told = once.join(chosen, ["sig", "more"]).withColumn("own", F.pmod(F.xxhash64("rep"), "parts")).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    on = ["sig", "more", "p", "q"]
+    a = told.select("sig", "more", F.col("own").alias("p"), F.col("other").alias("q"), F.col("rep").alias("x"))
+    b = told.select("sig", "more", F.col("other").alias("p"), F.col("own").alias("q"), F.col("rep").alias("y"))
+    return a.join(b, on).filter("x < y").select("x", "y")
+
+
 def coverage(docs: DataFrame, key: str, places: DataFrame, members: DataFrame, text: str = "text") -> DataFrame:
     """(key, n_chars, shared_chars, shared_share, passages array<struct<start, length>>): one row for each text, with the
     passages that stand in other texts as well, merged where they overlap. n_chars and shared_share are null for null texts."""

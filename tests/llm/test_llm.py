@@ -225,6 +225,29 @@ def test_spans_equal_brute_force(spark, span_rows):
         assert cover[k]["shared_chars"] == int(marked.sum()), k
 
 
+def test_spans_in_the_same_texts_are_paired_once(spark):
+    rows = [(s, 0, r) for s in range(50) for r in range(40)] + [(99, 0, r) for r in (1, 2, 70)] + [(99, 1, r) for r in (3, 80)] + [(99, 0, 1)]
+    df = spark.createDataFrame(rows, "sig bigint, more bigint, rep bigint")
+    for most in (4096, 7):
+        got = Counter(tuple(r) for r in spans.span_links(df, most).collect())
+        assert set(got) == set(itertools.combinations(range(40), 2)) | {(1, 70), (2, 70), (3, 80)}
+        assert got[5, 9] == 1 and got[1, 2] == 2
+
+
+def test_padded_columns_share_spans(spark):
+    """Spans of exactly the least length in columns of numbers padded with spaces, where symbols repeat."""
+    rng = random.Random(12)
+    column = lambda n: "".join(f"{rng.randint(0, 9999):>{rng.choice([6, 8])}}" for _ in range(n // 7 + 2))[:n]
+    rows = []
+    for i in range(60):
+        core = column(200)
+        rows += [(2 * i, column(rng.randint(0, 90)) + core + column(rng.randint(0, 90))), (2 * i + 1, "x" * rng.randint(0, 50) + core + column(60))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    links, _, members = spans.shared_spans(df)
+    got, want = {tuple(r) for r in spans.expand(links, members).collect()}, brute_spans(rows)
+    assert got <= want and len(want - got) <= 1
+
+
 @given(st.text(alphabet="ab c", min_size=120, max_size=200), st.text(alphabet="ab", max_size=50), st.text(alphabet="ac", max_size=50), st.integers(0, 3))
 @settings(max_examples=60, deadline=None)
 def test_equal_strings_are_parsed_alike_inside(core, left, right, seed):
