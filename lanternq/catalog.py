@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lanternq.plans import analytics_queries, pipeline_queries, registry, retrieval_queries, text_queries  # noqa: F401
+from lanternq.plans import analytics_queries, pipeline_queries, record_queries, registry, retrieval_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -80,6 +80,26 @@ def class_accuracy(df: DataFrame, gold: str, predicted: str, by: Sequence[str] =
     return out.withColumn("accuracy", F.round(F.coalesce(F.try_divide("correct", "total"), F.lit(0.0)), 6))
 
 
+def slice_accuracy(df: DataFrame, gold: str, predicted: str, bucket: str, labels: DataFrame) -> DataFrame:
+    """(level, value, total, correct, accuracy) in one pass: overall, per label (those of labels (gold) without rows get 0) and per bucket. Gold labels that
+    can't be mapped count for the fallback."""
+    rows = df.select(X.label_or_fallback(gold).alias("gold"), X.label_or_text(predicted).alias("p__"), F.col(bucket).alias("bucket"))
+    hit = F.coalesce(F.col("gold") == F.col("p__"), F.lit(False))
+    sets = rows.groupingSets([[], [F.col("gold")], [F.col("bucket")]], "gold", "bucket").agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("correct"), F.grouping_id().alias("g__"))
+    level = F.when(F.col("g__") == 3, "overall").when(F.col("g__") == 1, "label").otherwise("bucket")
+    some = sets.select(level.alias("level"), F.when(F.col("g__") == 1, F.col("gold")).when(F.col("g__") == 2, F.col("bucket")).alias("value"), "total", "correct")
+    wanted = labels.select(F.lit("label").alias("level"), F.col("gold").alias("value"), F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("correct"))
+    out = some.unionByName(wanted).groupBy("level", "value").agg(F.sum("total").alias("total"), F.sum("correct").alias("correct"))
+    return out.withColumn("accuracy", F.round(F.coalesce(F.try_divide("correct", "total"), F.lit(0.0)), 6))
+
+
+def extremes(pairs: DataFrame, value: str, first: str = "a", second: str = "b") -> DataFrame:
+    """One row: the mean of a value over pairs, the least and the greatest one, and the pairs that have them (the first by name on ties)."""
+    low, high = F.min(F.struct(value, first, second)).alias("l"), F.min(F.struct((-F.col(value)).alias("v"), first, second)).alias("h")
+    one = pairs.agg(F.avg(value).alias("mean"), low, high)
+    return one.select("mean", F.col(f"l.{value}").alias("low"), F.col(f"l.{first}").alias("low_a"), F.col(f"l.{second}").alias("low_b"), (-F.col("h.v")).alias("high"), F.col(f"h.{first}").alias("high_a"), F.col(f"h.{second}").alias("high_b"))
+
+
 def calibration(df: DataFrame, by: str, confidence: str, correct: str, edges: Sequence[float]) -> DataFrame:
     """(by, low, high, n, mean_confidence, accuracy) for every bin [low, high) of every group; empty bins have n 0 and nulls. Values
     outside all bins and missing ones are left out."""

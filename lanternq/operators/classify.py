@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternq.functions import text as X
@@ -119,7 +119,8 @@ def classify_by_centroid(df: DataFrame, key: str, vector: str, cents: DataFrame,
 
 def argmax(probs: DataFrame, key: str) -> DataFrame:
     """(key, predicted, confidence): the label with the largest p, the least label on ties."""
-    return probs.groupBy(key).agg(F.max_by(F.struct(F.col("label").alias("predicted"), F.col("p").alias("confidence")), F.struct("p", -F.col("label"))).alias("m")).select(key, "m.*")
+    first = F.min(F.struct((-F.col("p")).alias("d"), F.col("label").alias("predicted"), F.col("p").alias("confidence")))
+    return probs.filter(F.col("p").isNotNull()).groupBy(key).agg(first.alias("m")).select(key, "m.predicted", "m.confidence")
 
 
 def centroid_similarity(cents: DataFrame, digits: int = 6) -> DataFrame:
@@ -163,12 +164,12 @@ def tfidf_model(train: DataFrame, text: str, label: str, features: int = 20000,
     from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, SQLTransformer, StopWordsRemover, StringIndexer
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    names = [r[0] for r in train.select(label).distinct().orderBy(label).limit(MAX_MODEL_LABELS + 1).collect()]
-    if len(names) > MAX_MODEL_LABELS:
+    sizes = train.groupBy(F.col(label).alias("y__")).agg(F.count(F.lit(1)).alias("n__")).orderBy("y__").limit(MAX_MODEL_LABELS + 1).collect()
+    if len(sizes) > MAX_MODEL_LABELS:
         raise ValueError(f"more than {MAX_MODEL_LABELS} labels")
-    w = Window.partitionBy(label)
-    n = train.count()
-    weighted = train.withColumn("weight", F.lit(n) / (F.lit(len(names)) * F.count(F.lit(1)).over(w)))
+    names, n = [r["y__"] for r in sizes], sum(r["n__"] for r in sizes)
+    weights = train.sparkSession.createDataFrame([(r["y__"], n / (len(sizes) * r["n__"])) for r in sizes], f"y__ {train.schema[label].dataType.simpleString()}, weight double")
+    weighted = train.join(F.broadcast(weights), F.col(label).eqNullSafe(F.col("y__"))).drop("y__")
 
     def sublinear(v):
         return SparseVector(v.size, v.indices, 1 + np.log(v.values))
@@ -189,6 +190,59 @@ def tfidf_model(train: DataFrame, text: str, label: str, features: int = 20000,
     return Pipeline(stages=stages).fit(weighted), names
 
 
+def blended(probs: Column, text: Column | str, order: Sequence[str], alpha: float = 0.7, beta: float = 0.3, labels: Sequence[str] = W.LABELS) -> Column:
+    """Probabilities of a trained model in the order of its own labels, put into the order of `labels` (0 for those it doesn't know), scaled to a
+    sum of 1 (equal shares without mass), and blended with the keyword prior."""
+    place = {k: i + 1 for i, k in enumerate(order)}
+    aligned = X.let(probs, lambda p: F.array(*(F.element_at(p, place[k]) if k in place else F.lit(0.0) for k in labels)))
+    return with_prior(text, V.normalized(aligned), alpha, beta, labels)
+
+
+def sweep_heads(train: DataFrame, validation: DataFrame, features: str, label: str, penalties: Sequence[float] = (1e-4, 1e-3, 1e-2), weightings: Sequence[str] = ("none", "balanced"), hidden: Sequence[int] = ()):
+    """(best model, candidates): a softmax head, or a perceptron with hidden layers, for each penalty and weighting of classes, chosen by validation
+    accuracy, then macro F1, then the order of weightings and penalties. candidates: one dict each. label holds 0, 1, ... as doubles."""
+    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    from lanternq.operators.analytics import macro_f1
+
+    sizes = {r[0]: r[1] for r in train.groupBy(label).count().orderBy(label).limit(MAX_MODEL_LABELS + 1).collect()}
+    if len(sizes) > MAX_MODEL_LABELS:
+        raise ValueError(f"more than {MAX_MODEL_LABELS} labels")
+    total = sum(sizes.values())
+    spark = train.sparkSession
+    weights = spark.createDataFrame([(float(k), total / (len(sizes) * n)) for k, n in sizes.items()], "y__ double, weight__ double")
+    found = []
+    for i, mode in enumerate(weightings):
+        data = train.join(F.broadcast(weights), F.col(label) == F.col("y__")).withColumn("weight__", F.col("weight__") if mode == "balanced" else F.lit(1.0))
+        for j, penalty in enumerate(penalties):
+            if hidden:  # this learner knows neither weights nor penalties: rows of rare classes can't count more
+                width = len(train.select(features).first()[0])
+                model = MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=[width, *hidden, len(sizes)], seed=13, stepSize=max(penalty, 1e-4)).fit(data)
+            else:
+                model = LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight__", regParam=penalty, maxIter=200, family="multinomial").fit(data)
+            scored = model.transform(validation)
+            accuracy = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy").evaluate(scored)
+            f1 = macro_f1(scored, label, "prediction").first()["macro_f1"]
+            found.append(({"weighting": mode, "penalty": penalty, "accuracy": accuracy, "macro_f1": f1, "order": (i, j)}, model))
+    best = min(found, key=lambda c: (-c[0]["accuracy"], -(c[0]["macro_f1"] or 0.0), c[0]["order"]))
+    return best[1], [c for c, _ in found]
+
+
+def joined_features(*vectors: Column | str) -> Column:
+    """One array of the values of several vectors, end to end; a null vector makes it null."""
+    return F.concat(*(V.doubles(v) for v in vectors))
+
+
+def check_labels(df: DataFrame, column: str, allowed: Sequence[str] = W.LABELS) -> DataFrame:
+    """df, if its labels are exactly the allowed ones; otherwise it raises and names what lacks and what is too much."""
+    found = {r[0] for r in df.select(column).distinct().limit(MAX_LABELS + 1).collect()}
+    lacking, extra = sorted(set(allowed) - found), sorted(map(str, found - set(allowed)))
+    if lacking or extra:
+        raise ValueError(f"labels lack {lacking} and hold {extra}")
+    return df
+
+
 def score_in_batches(df: DataFrame, scorer: Callable[[list[str]], list[str]], text: str, out: str) -> DataFrame:
     """A pluggable model over a text column: scorer maps a list of texts to a list of outputs, one Arrow batch at a time."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -25,8 +25,50 @@ def normal_resolution(r: str) -> Column:
     )
 
 
+# Phrases of answers that do nothing.
+EMPTY_PHRASES = ("i can't access your system", "i cannot access your system", "i can't log in to your system", "as an ai", "as a language model", "cannot perform actions")
+
+
+def unwrapped(df: DataFrame, resolution: str, nested: str = "gold_resolution") -> DataFrame:
+    """df whose resolution column is the one nested in it where there is one."""
+    kind = df.schema[resolution].dataType
+    return df.withColumn(resolution, F.col(f"{resolution}.{nested}")) if nested in getattr(kind, "names", ()) else df
+
+
+def snippets(fused: Column | str, plain: Column | str) -> Column:
+    """The fused list if there is one (an empty one counts), else the plain one, else none."""
+    return F.coalesce(X.col(fused), X.col(plain), F.array())
+
+
+def validation_reasons(r: str, retrieved: Column, steps: tuple[int, int] = (3, 8), criteria: int = 2) -> Column:
+    """Reasons against a normalised resolution, in order: a missing or TODO summary, too few, too many or empty steps, few acceptance criteria, policies
+    that are missing or weren't retrieved, an escalation without a reason, and phrases that do nothing. A null resolution has one reason."""
+    g = lambda f: F.col(f"{r}.{f}")
+    n, odd = F.size(g("steps")), F.array_sort(F.array_distinct(F.array_except(g("kb_policies"), retrieved)))
+    outside = (n < steps[0]) | (n > steps[1])
+    idle = F.exists(g("steps"), lambda s: ~X.is_actionable(F.lower(s), EMPTY_PHRASES))
+    blob = F.lower(F.concat_ws(" ", g("summary"), F.array_join(g("steps"), " "), F.array_join(g("acceptance_criteria"), " ")))
+    found = messages(
+        ((g("summary") == "") | (F.lower(g("summary")) == "todo"), "summary_missing"),
+        (outside, "steps_count_out_of_range"),
+        (~outside & idle, "steps_not_actionable"),
+        (F.size(g("acceptance_criteria")) < criteria, "empty_acceptance_criteria"),
+        (F.size(g("kb_policies")) == 0, "kb_policies_missing"),
+        (F.size(odd) > 0, F.concat(F.lit("kb_policy_not_retrieved:"), F.array_join(odd, ","))),
+        (g("escalation_required") & (g("escalation_reason") == ""), "escalation_reason_missing"),
+        (X.contains_any(blob, EMPTY_PHRASES), "non_actionable_fluff"),
+    )
+    return F.when(F.col(r).isNull(), F.array(F.lit("empty_resolution"))).otherwise(found)
+
+
+def audit_text(one: DataFrame) -> DataFrame:
+    """(line): the audit's row as lines `name: value`, in the order of its columns."""
+    cells = F.array(*(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("n/a"))) for c in one.columns))
+    return one.select(F.posexplode(cells).alias("pos", "line"))
+
+
 def review_reasons(r: str, known_policies: Column, least_steps: int = 3, least_criteria: int = 1, least_summary: int = 8) -> Column:
-    """Reasons why a normalised resolution needs a review, in order."""
+    """Further reasons why a normalised resolution needs a look by a person, in order; validation_reasons has those that count against it."""
     g = lambda f: F.col(f"{r}.{f}")
     return messages(
         (F.length(g("summary")) < least_summary, "short_summary"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,24 @@ def quarantine(df: DataFrame, errors: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(~bad).drop(errors), df.filter(bad)
 
 
+def coerced_record(json: Column) -> Column:
+    """A record as it is if it is a JSON object; anything else becomes `{"result":"error","raw_record":...}`."""
+    from lanternq.functions.records import is_object
+
+    return F.when(is_object(json), json).otherwise(F.to_json(F.struct(F.lit("error").alias("result"), F.coalesce(json, F.lit("null")).alias("raw_record"))))
+
+
+def sane_registry(models: DataFrame, kinds: Sequence[str] = ("slm", "llm"), only: Sequence[str] | None = None, force: str | None = None) -> DataFrame:
+    """Models (name, kind) of a registry, of a subset of names, or of one kind that is forced. A kind without a model raises, unless one is forced."""
+    out = models if only is None else models.filter(F.col("name").isin(*only))
+    out = out if force is None else out.filter(F.lower("kind") == force)
+    have = {r[0] for r in out.select(F.lower("kind")).distinct().limit(100).collect()}
+    lacking = sorted(set([force] if force else kinds) - have)
+    if lacking:
+        raise ValueError(f"no model of kind {lacking}")
+    return out
+
+
 def union_strict(parts: Sequence[DataFrame]) -> DataFrame:
     """All rows of all parts, whose columns must be the same in the same order."""
     if not parts:

@@ -13,7 +13,7 @@ from lanternq.operators import analytics as A
 from lanternq.operators import classify, gold, guards, sampling
 from lanternq.plans import grid
 from lanternq.plans.registry import query, quoted, table
-from lanternq.plans.text_queries import sql_strip, sql_tokens
+from lanternq.plans.text_queries import sql_labels, sql_strip, sql_tokens
 
 METRICS = ("accuracy", "groundedness", "schema_validity", "latency_ms", "cost_usd")
 
@@ -164,8 +164,8 @@ def macro_f1(spark: SparkSession, sf: str) -> DataFrame:
     return A.macro_f1(results(spark, sf).withColumn("g", F.lower("gold_category")).withColumn("p", F.lower("predicted_category")), "g", "p")
 
 
-@query(f"""with c as (select topic_group as label, count(*) as n from tickets where topic_group is not null group by 1), t as (select sum(n) as total, count(*) as k from c)
-select l.label, coalesce(n, 0)::bigint as n, round(coalesce(total / (k * n)::double * case l.label when 'HR Support' then 1.3e0 when 'Purchase' then 1.1e0 else 1e0 end, 1e0), 6) as weight from (select column0 as label from (values {', '.join(f'($${x}$$)' for x in V.LABELS)}) v(column0)) l left join c on c.label = l.label, t""")
+@query(f"""with c as (select label, count(*) as n from tickets join ({sql_labels('tickets', 'topic_group')}) on raw = topic_group where label is not null group by 1), t as (select sum(n) as total, count(*) as k from c)
+select l.label, coalesce(n, 0)::bigint as n, round(coalesce(total / (k * n)::double * case l.label when 'HR Support' then 1.3e0 when 'Purchase' then 1.1e0 when 'Administrative rights' then 1.1e0 else 1e0 end, 1e0), 6) as weight from (select column0 as label from (values {', '.join(f'($${x}$$)' for x in V.LABELS)}) v(column0)) l left join c on c.label = l.label, t""")
 def class_weights(spark: SparkSession, sf: str) -> DataFrame:
     labels = spark.createDataFrame([(x,) for x in V.LABELS], "label string")
     known = table(spark, sf, "tickets").select(X.canonical_label("topic_group").alias("topic_group"))  # what maps to no label is null and counts nowhere
@@ -384,7 +384,7 @@ def grid_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return grid.metrics(g, "ticket_text", "topic_group", "topic_group", "steps", "needs_human_review").select("ticket_index", "accuracy", "groundedness", "schema_validity")
 
 
-@query("select 'a' as part, result_id from results where chunk_no = 1 union all select 'b', result_id from results where chunk_no = 2")
+@query("select case when chunk_no % 2 = 1 then 'a' else 'b' end as part, result_id from results")
 def union_strict(spark: SparkSession, sf: str) -> DataFrame:
     """All chunks: those of odd chunk_no as part a, all others (even or null) as part b."""
     odd = F.coalesce(F.col("chunk_no") % 2 == 1, F.lit(False))

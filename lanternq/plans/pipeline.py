@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternq.functions import text as X
+from lanternq.functions import vectors as V
 from lanternq.operators import retrieval
 
 #: name -> function (queries (q, text), corpus (doc, text), k) giving (q, doc, score, rk)
@@ -34,16 +35,34 @@ def _bm25(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return retrieval.bm25_top(queries, "q", "text", corpus, "doc", "text", k)
 
 
+def letters(df: DataFrame) -> DataFrame:
+    """The default encoder: (..., v), unit vectors of letter counts; texts without letters get none."""
+    out = df.withColumn("v", V.letter_vector("text"))
+    return out.withColumn("v", F.when(V.norm("v") > 0, F.col("v")))
+
+
+#: The encoder of the dense mode, a function from (..., text) to (..., text, v); replace it to use another model's vectors.
+ENCODER: list[Callable[[DataFrame], DataFrame]] = [letters]
+
+
 @retriever("rag_dense")
+def _dense(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """By cosine of the encoder's vectors; a corpus that has a column v is taken with its stored vectors."""
+    q = ENCODER[0](queries.select("q", "text"))
+    d = corpus.select("doc", "v") if "v" in corpus.columns else ENCODER[0](corpus.select("doc", "text"))
+    return retrieval.dense_top(q, "q", "v", d, "doc", "v", k)
+
+
+@retriever("lexical")
 def _lexical(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Without a text encoder the dense mode ranks by lexical overlap; retrieval.dense_top serves stored vectors."""
+    """By the share of the query's words, among all documents."""
     s = retrieval.lexical_scores(queries, "q", "text", corpus, "doc", "text").withColumn("score", F.round("score", 6))
     return retrieval.top_k(s, "q", "score", "doc", k).select("q", "doc", "score", "rk")
 
 
 @retriever("rag_hybrid")
 def _hybrid(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    return retrieval.fuse(_bm25(queries, corpus, k), _lexical(queries, corpus, k), corpus, k=k)
+    return retrieval.fuse(_bm25(queries, corpus, k), _dense(queries, corpus, k), corpus, k=k)
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, mode: str, k: int = 3, known_ids: DataFrame | None = None) -> DataFrame:
@@ -58,8 +77,8 @@ def retrieve(queries: DataFrame, corpus: DataFrame, mode: str, k: int = 3, known
 
 
 def append_documents(corpus: DataFrame, new: DataFrame, text: str, parts: int = 256) -> DataFrame:
-    """The corpus (doc string, text) with new texts as `dynamic:n`, numbered by order of arrival (at: a number, date or time), equal ones
-    by text. Texts are numbered in ranges of `at` of about equal size, and the counts of earlier ranges are added, so no task numbers
+    """The corpus (doc string, text) with new texts as `dynamic:n`, numbered on from the corpus's size by order of arrival (at: a number, date or
+    time), equal ones by text. Texts are numbered in ranges of `at` of about equal size, and the counts of earlier ranges are added, so no task numbers
     them all. Statistics follow from the union."""
     rows = new.filter(~X.is_blank(text)).select("at", X.strip(text).alias("text"))
     bounds = rows.agg(F.percentile_approx("at", [i / parts for i in range(1, max(parts, 2))]).alias("bounds__"))
@@ -68,7 +87,9 @@ def append_documents(corpus: DataFrame, new: DataFrame, text: str, parts: int =
     before = F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # as many rows as parts
     inside = F.row_number().over(Window.partitionBy("part__").orderBy("at", "text"))
     numbered = rows.withColumn("rk__", inside).join(F.broadcast(counts.select("part__", before.alias("start__"))), "part__")
-    return corpus.select("doc", "text").unionByName(numbered.select(F.concat(F.lit("dynamic:"), F.col("start__") + F.col("rk__") - 1).alias("doc"), "text"))
+    size = corpus.agg(F.count(F.lit(1)).alias("size__"))
+    named = F.concat(F.lit("dynamic:"), F.col("size__") + F.col("start__") + F.col("rk__") - 1)
+    return corpus.select("doc", "text").unionByName(numbered.join(F.broadcast(size)).select(named.alias("doc"), "text"))
 
 
 def with_query_fallback(queries: DataFrame, last_text: str) -> DataFrame:

@@ -25,7 +25,8 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 _ALL_Q = "(select ticket_id, arg_min_null(document, received_at) as document from tickets where ticket_id % 100 = 0 group by 1)"
 
 
-@query(f"""select t.ticket_id as q, coalesce(max(score), 0e0) as relevance, count(h.doc)::bigint as hits from {_ALL_Q} t left join {sql_top(_BM)} h on h.q = t.ticket_id group by 1""")
+@query(f"""select t.ticket_id as q, coalesce(string_agg('### rag_bm25 ' || rk || ' [' || doc || '] (score=' || printf('%.2f', score) || '):' || chr(10) || '> ' || {sql_strip("coalesce(k.content, 'null')")}, chr(10) || chr(10) order by rk), '') as context,
+coalesce(max(score), 0e0) as relevance, count(h.doc)::bigint as hits from {_ALL_Q} t left join {sql_top(_BM)} h on h.q = t.ticket_id left join kb_articles k on k.id = h.doc group by 1""")
 def retrieve_payload(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.retrieve(asked(spark, sf), corpus(spark, sf), "rag_bm25").select("q", "context", "relevance", "hits")
 
@@ -36,7 +37,7 @@ def retrieve_none(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""select doc, length(text)::int as n from (select id as doc, content as text from kb_articles union all
-select 'dynamic:' || (row_number() over (order by ticket_id) - 1), {sql_strip('document')} from {TQ} where {sql_strip('document')} <> '')""")
+select 'dynamic:' || (k + row_number() over (order by ticket_id) - 1), {sql_strip('document')} from (select ticket_id, arg_min(document, received_at) as document from tickets where document is not null group by 1), (select count(*) as k from kb_articles) where {sql_strip('document')} <> '')""")
 def index_append(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "tickets").filter("document is not null")  # a ticket that arrives again is one document, with its first text
     new = t.groupBy(F.col("ticket_id").alias("at")).agg(F.min_by("document", "received_at").alias("document"))
@@ -53,7 +54,7 @@ def filter_or_all(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.filter_or_all(table(spark, sf, "context_windows"), F.col("model") == "no_such_model")
 
 
-@query("select ticket_index, topic_group, ticket_text, 'TODO' as summary, 0 as steps, false as escalation_required from gold_audit order by ticket_index limit 40")
+@query("select ticket_index, topic_group, ticket_text, 'TODO' as summary, 0 as steps, false as escalation_required from gold_audit")
 def gold_template(spark: SparkSession, sf: str) -> DataFrame:
     none = F.expr("cast(array() as array<string>)")
     g = table(spark, sf, "gold_audit")

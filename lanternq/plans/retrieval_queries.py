@@ -104,7 +104,7 @@ def hybrid_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.fuse(bm25_topk(spark, sf), lexical_topk(spark, sf), texts)
 
 
-@query(f"""select q, string_agg('### KB (BM25) ' || rk || ' [' || doc || '] (score=' || printf('%.2f', score) || '):' || chr(10) || '> ' || {sql_strip('k.title')}, chr(10) || chr(10) order by rk) as context from {sql_top(_BM)} h join kb_articles k on k.id = h.doc where k.title is not null group by 1""")
+@query(f"""select q, string_agg('### KB (BM25) ' || rk || ' [' || doc || '] (score=' || printf('%.2f', score) || '):' || chr(10) || '> ' || {sql_strip("coalesce(k.content, 'null')")}, chr(10) || chr(10) order by rk) as context from {sql_top(_BM)} h join kb_articles k on k.id = h.doc group by 1""")
 def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
     texts = kb(spark, sf).select(F.col("id").alias("doc"), F.col("content").alias("text"))
     return retrieval.context_block(bm25_topk(spark, sf), texts)

@@ -152,6 +152,47 @@ def split_dump(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("block").agg(F.max("marker").alias("path"), text.alias("text")).select("path", "text")
 
 
+def read_vectors(spark: SparkSession, path: str, labels: Sequence[str] | None = None) -> DataFrame:
+    """(label, vector) of an artefact. Vectors of different lengths, repeated labels and, if they are given, other labels raise."""
+    df = spark.read.parquet(path).select("label", "vector")
+    guards.refuse_duplicates(df, "label")
+    sizes = df.agg(F.min(F.size("vector")).alias("lo"), F.max(F.size("vector")).alias("hi")).first()
+    if sizes["lo"] != sizes["hi"]:
+        raise ValueError(f"vectors of {sizes['lo']} to {sizes['hi']} values")
+    if labels is not None:
+        from lanternq.operators.classify import check_labels
+
+        check_labels(df, "label", labels)
+    return df
+
+
+def read_config(path: str, defaults: dict | None = None) -> dict:
+    """A JSON configuration over defaults, nested objects merged; an absent file gives the defaults."""
+    import json
+
+    def merged(a: dict, b: dict) -> dict:
+        return a | {k: merged(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
+
+    p = Path(path)
+    own = json.loads(p.read_text()) if p.exists() else {}
+    if not isinstance(own, dict):
+        raise ValueError("a configuration is an object")
+    return merged(defaults or {}, own)
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256, n_bytes) of the files at a path."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
+
+
+def tickets_frame(spark: SparkSession, tickets) -> DataFrame:
+    """(id, text) of a DataFrame with such columns, of a list of dicts, or of a list of texts, which are numbered from 0."""
+    if isinstance(tickets, DataFrame):
+        return guards.require_columns(guards.rename_aliases(guards.tidy_names(tickets), TICKET_ALIASES | {"id": ("ticket_id", "ticket_index")}), ("id", "text")).select("id", "text")
+    rows = [(i, None if t is None else str(t.get("text", t.get("document")) or "") if isinstance(t, dict) else str(t)) if not isinstance(t, dict) or t.get("id") is None else (t["id"], str(t.get("text", t.get("document")) or "")) for i, t in enumerate(tickets)]
+    return spark.createDataFrame([(str(i), t) for i, t in rows], "id string, text string")
+
+
 def content_hash(df: DataFrame, order: str, text: str) -> DataFrame:
     """One row: SHA-256 over all texts in order. It reads a whole index into one task, which a hash of this form requires."""
     return df.agg(F.sha2(F.expr(f"listagg(coalesce({text}, ''), '') within group (order by {order})").cast("binary"), 256).alias("sha256"), F.count(F.lit(1)).alias("n"))

@@ -30,7 +30,7 @@ def clean_for_csv(df: DataFrame) -> DataFrame:
 def write_results(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The canonical columns in their order; a table that lacks one raises."""
     guards.require_columns(df, (n for n, _ in V.RESULT_COLUMNS))
-    clean_for_csv(df.select(*(n for n, _ in V.RESULT_COLUMNS))).write.mode(mode).csv(path, header=True, escape='"')
+    clean_for_csv(df.select(*(n for n, _ in V.RESULT_COLUMNS))).write.mode(mode).csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_raw(df: DataFrame, path: str, by: Sequence[str] = ("router", "model", "memory", "classifier_mode"), mode: str = "errorifexists") -> None:
@@ -55,6 +55,46 @@ def write_by(df: DataFrame, path: str, by: str, mode: str = "errorifexists") ->
     df.write.mode(mode).partitionBy(by).csv(path, header=True)
 
 
+def write_summaries(summaries: dict[str, DataFrame], folder: str, mode: str = "errorifexists") -> None:
+    """One CSV folder `summary_by_<name>` for each summary."""
+    for name, df in summaries.items():
+        df.write.mode(mode).csv(f"{folder}/summary_by_{name}", header=True)
+
+
+def write_anova(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The table of an analysis of variance; one without rows gives a file with the header only."""
+    df.coalesce(1).write.mode(mode).csv(path, header=True)  # a row for each term
+
+
+def write_outputs(outputs: DataFrame, gold: DataFrame, key: str, label: str, path: str, mode: str = "errorifexists") -> None:
+    """Outputs as JSON lines with the gold label of their key appended, null where there is none."""
+    outputs.join(gold.select(key, F.col(label).alias("gold_label")).dropDuplicates([key]), key, "left").write.mode(mode).json(path)
+
+
+def reproject(spark, paths: Sequence[str], columns: Sequence[tuple[str, str]] = V.RESULT_COLUMNS) -> list[str]:
+    """Rewrites CSV folders in the canonical columns, those they lack empty: written beside, then swapped; absent ones are skipped. The paths done."""
+    done = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            continue
+        beside, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{x}") for x in ("new", "old"))
+        df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        known = {c.strip().lower(): c for c in df.columns}
+        df.select(*(F.coalesce(F.col(f"`{known[n]}`"), F.lit("")).alias(n) if n in known else F.lit("").alias(n) for n, _ in columns)).write.csv(f"{path}.new", header=True, escape='"')
+        fs.rename(p, old)
+        fs.rename(beside, p)
+        fs.delete(old, True)
+        done.append(path)
+    return done
+
+
+def write_vectors(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """An artefact of (label, vector) rows, such as centroids or the rows of a head."""
+    df.select("label", F.transform(F.col(df.columns[-1]), lambda x: x.cast("double")).alias("vector")).write.mode(mode).parquet(path)
+
+
 def sync_plan(expected: DataFrame, present: DataFrame, key: str = "path") -> DataFrame:
     """(key, action): write for what is expected, delete for what is present only."""
     stale = present.select(key).join(expected.select(key), key, "left_anti")

@@ -13,7 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def salience_stream(messages: DataFrame, conv: str = "conv", turn: str = "turn", text: str = "text", decay: float = 0.9) -> DataFrame:
     """(conv, turn, pos, score) of each message as it arrives; messages of one batch are taken in order of turn. Scores are those of
-    operators.memory.salience over the messages seen so far. The state holds token counts and the last message's tokens."""
+    operators.memory.salience over the messages seen so far, so they are those of the batch form if batches arrive in the order of turns;
+    a message that comes late is scored after those that came before it. The state holds token counts and the last message's tokens."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pos, freq, last = (0, Counter(), [])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +161,7 @@ def test_memory_and_stream(spark, tmp_path):
     src.mkdir()
     for i, part in enumerate((rows[:3], rows[3:])):
         (src / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("conv", "turn", "text"), r))) for r in part))
+        os.utime(src / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken in order of their times
     s = spark.readStream.schema("conv string, turn int, text string").option("maxFilesPerTrigger", 1).json(str(src))
     run = salience_stream(s).writeStream.format("memory").queryName("sal").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(120)
@@ -198,13 +200,19 @@ def test_gold_gate(spark):
 def test_pipeline(spark, tmp_path):
     corpus = spark.createDataFrame([("a", "red mouse"), ("b", "blue mouse pad"), ("c", None)], "doc string, text string")
     q = spark.createDataFrame([(1, "mouse"), (2, "zebra"), (3, None)], "q int, text string")
-    for mode, hits in (("rag_bm25", 2), ("rag_dense", 2), ("rag_hybrid", 2), ("none", 0), ("no such mode", 0)):
+    for mode, hits in (("rag_bm25", 2), ("lexical", 2), ("none", 0), ("no such mode", 0)):
         got = {r["q"]: r for r in pipeline.retrieve(q, corpus, mode).collect()}
         assert set(got) == {1, 2, 3} and got[1]["hits"] == hits and got[2]["hits"] == got[3]["hits"] == 0 and got[2]["context"] == ""
+    stored = corpus.withColumn("v", F.when(F.col("doc") == "b", pipeline.V.letter_vector(F.lit("mouse"))).when(F.col("doc") == "a", pipeline.V.letter_vector(F.lit("zzz"))))
+    for mode in ("rag_dense", "rag_hybrid"):  # vectors bring any text near; texts without letters have none
+        got = {r["q"]: r for r in pipeline.retrieve(q, stored, mode).collect()}
+        assert set(got) == {1, 2, 3} and got[1]["hits"] == 2 and got[3]["hits"] == 0 and got[3]["context"] == "" and "1 [b]" in got[1]["context"]
     only = pipeline.retrieve(q, corpus, "rag_bm25", known_ids=corpus.filter("doc = 'b'")).filter("q = 1").first()
     assert only["hits"] == 1 and "[b]" in only["context"]
     more = pipeline.append_documents(corpus, spark.createDataFrame([(1, " x "), (2, " "), (3, "y")], "at int, t string"), "t")
-    assert {r["doc"]: r["text"] for r in more.collect()}["dynamic:1"] == "y" and more.count() == 5
+    assert {r["doc"]: r["text"] for r in more.collect()}["dynamic:4"] == "y" and more.count() == 5
+    twice = pipeline.append_documents(more, spark.createDataFrame([(1, "z")], "at int, t string"), "t")
+    assert sorted(r["doc"] for r in twice.collect()) == ["a", "b", "c", "dynamic:3", "dynamic:4", "dynamic:5"]
     asked = [r["text"] for r in pipeline.with_query_fallback(q, "last").orderBy("q").collect()]
     assert asked == ["mouse", "zebra", "last"]
     seen = []

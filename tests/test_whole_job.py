@@ -43,7 +43,7 @@ def test_class_weights_count_canonical_labels(spark, data):
 
 def test_index_append_takes_every_ticket(spark, data):
     want = sql(data, f"""with t as (select ticket_id, arg_min(document, received_at) as document from tickets where document is not null group by 1)
-        select id, length(content)::int from kb_articles union all select 'dynamic:' || (row_number() over (order by ticket_id) - 1), length({sql_strip('document')})::int from t where {sql_strip('document')} <> ''""")
+        select id, length(content)::int from kb_articles union all select 'dynamic:' || (k + row_number() over (order by ticket_id) - 1), length({sql_strip('document')})::int from t, (select count(*) as k from kb_articles) where {sql_strip('document')} <> ''""")
     assert rows(catalog.queries()["index_append"](spark, data)) == want
 
 
