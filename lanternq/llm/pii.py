@@ -314,11 +314,22 @@ def train_model(spark: SparkSession | None, given: tuple[str, ...] = (), family:
                     used = np.flatnonzero(w.any(1)).astype(np.int32)
                     yield pd.DataFrame({"used": [used.tobytes()], "weights": [w[used].tobytes()], "trans": [trans.tobytes()]})
 
-        got = []
-        for r in spark.range(0, parts, 1, parts).mapInPandas(work, "used binary, weights binary, trans binary").collect():
-            w = np.zeros((1 << BITS, len(LABELS)), np.float32)
-            w[np.frombuffer(bytes(r["used"]), np.int32)] = np.frombuffer(bytes(r["weights"]), np.float32).reshape(-1, len(LABELS))
-            got.append((w, np.frombuffer(bytes(r["trans"]), np.float32).reshape(len(LABELS), -1)))
+        def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            w, trans = np.zeros((1 << BITS, len(LABELS)), np.float32), np.zeros((len(LABELS), len(LABELS)), np.float32)
+            for f in frames:
+                for used, weights, t in zip(f["used"], f["weights"], f["trans"]):
+                    w[np.frombuffer(used, np.int32)] += np.frombuffer(weights, np.float32).reshape(-1, len(LABELS))
+                    trans += np.frombuffer(t, np.float32).reshape(len(LABELS), -1)
+            for i in range(0, len(w), 1 << 15):
+                yield pd.DataFrame({"at": [i], "weights": [(w[i : i + (1 << 15)] / parts).tobytes()], "trans": [(trans / parts).tobytes()]})
+
+        each = spark.range(0, parts, 1, parts).mapInPandas(work, "used binary, weights binary, trans binary")
+        w, trans = np.zeros((1 << BITS, len(LABELS)), np.float32), None
+        for r in each.repartition(1).mapInPandas(merge, "at int, weights binary, trans binary").toLocalIterator():  # one model, in pieces
+            block = np.frombuffer(bytes(r["weights"]), np.float32).reshape(-1, len(LABELS))
+            w[r["at"] : r["at"] + len(block)] = block
+            trans = np.frombuffer(bytes(r["trans"]), np.float32).reshape(len(LABELS), -1)
+        got = [(w, trans)]
     _trained[key] = mean_model(got, given, family, folder, lines)
     return _trained[key]
 
