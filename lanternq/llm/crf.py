@@ -91,9 +91,10 @@ def train(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_label
     for g in groups:
         tok, row, col = place(g, starts, lengths)
         used, inverse = np.unique(features[tok], return_inverse=True)
-        by_feature = np.argsort(inverse.ravel(), kind="stable")
-        first = np.searchsorted(inverse.ravel()[by_feature], np.arange(len(used)))
-        ready.append((lengths[g], tok, row, col, used, inverse.reshape(len(tok), -1), by_feature // features.shape[1], first))
+        inverse = inverse.ravel().astype(np.int32)
+        by_feature = np.argsort(inverse, kind="stable")
+        first = np.searchsorted(inverse[by_feature], np.arange(len(used)))
+        ready.append((lengths[g], tok, row, col, used, inverse.reshape(len(tok), -1), (by_feature // features.shape[1]).astype(np.int32), first))
     for epoch in range(epochs):
         step = rate / (1 + 0.3 * epoch)
         for k in rng.permutation(len(ready)):
