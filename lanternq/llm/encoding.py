@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanternq.llm.hashing import batches
+
 TOKENIZER_DIR = "/opt/tokenizers"
 # Fixed value: the published pre-token pattern of the byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -64,7 +66,7 @@ def encode_corpus(
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = load_encoding(name, folder)
-        for f in frames:
+        for f in batches(frames, 4000, "t0"):
             got = [enc.encode_ordinary(t) if t else [] for t in f["t0"]]
             rest = f.drop(columns="t0")
             yield rest.assign(**{"n_tokens": [len(x) for x in got]} if counts_only else {"ids": got})
