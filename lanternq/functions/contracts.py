@@ -145,7 +145,7 @@ def with_defaults(json: Column | str) -> Column:
         reasons = F.when(is_flags, F.coalesce(F.try_variant_get(v, "$.escalation_flags.reasons", "array<string>"), F.array_compact(F.array(F.try_variant_get(v, "$.escalation_flags.reasons", "string")))))
         flags = F.create_map(*(x for f in FLAGS for x in (F.lit(f), flag(f))), F.lit("reasons"), F.to_variant_object(F.coalesce(reasons, F.expr("cast(array() as array<string>)"))))
         made = F.create_map(F.lit("ticket_id"), ticket, F.lit("escalation_flags"), F.to_variant_object(flags), *(x for f, c in some.items() for x in (F.lit(f), c)))
-        own = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~F.array_contains(F.map_keys(made), k))
+        own = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin("ticket_id", "escalation_flags", *some))
         return F.to_json(F.map_concat(own, made))
 
     return F.when(R.is_object(json), X.let(F.try_parse_json(F.when(R.is_object(json), col(json))), fill)).otherwise(col(json))

@@ -73,9 +73,11 @@ def output_contract(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""select result_id, chunk_no, coalesce(ticket_id::varchar, '') as ticket_id, coalesce(result, '') as rewritten_query, coalesce(memory_mode, 'none') as memory_mode, false as policy_gap,
  coalesce((select any_value(label) from ({sql_labels('results', 'gold_category')}) where raw = gold_category), gold_category, (select any_value(label) from ({sql_labels('results', 'classifier_label')}) where raw = classifier_label), classifier_label, '') as topic_group from results""")
 def output_contract_defaults(spark: SparkSession, sf: str) -> DataFrame:
-    at = lambda p: F.get_json_object("json", f"$.{p}")
-    o = outputs(spark, sf).withColumn("json", C.with_defaults("json"))
-    return o.select("result_id", "chunk_no", at("ticket_id").alias("ticket_id"), at("rewritten_query").alias("rewritten_query"), at("memory_mode").alias("memory_mode"), at("escalation_flags.policy_gap").cast("boolean").alias("policy_gap"), at("topic_group").alias("topic_group"))
+    def parts(j):
+        at = lambda p: F.get_json_object(j, f"$.{p}").alias(p.rsplit(".", 1)[-1])
+        return F.struct(at("ticket_id"), at("rewritten_query"), at("memory_mode"), at("escalation_flags.policy_gap").cast("boolean").alias("policy_gap"), at("topic_group"))
+
+    return outputs(spark, sf).select("result_id", "chunk_no", X.let(C.with_defaults("json"), parts).alias("o")).select("result_id", "chunk_no", "o.*")
 
 
 @query("""with j as (select event_id, case when json_valid(props) and json_type(props) = 'OBJECT' then props end as j, props from events)
